@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, pii, sharding, url_filter
+from . import decontaminate, pieces, pii, sharding, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op2_url_filter": url_filter.op2,
     "op6_pii": pii.op6,
     "op7_sentencepiece": pieces.op7,

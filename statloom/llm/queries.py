@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, near, pieces, pii, secrets, sharding, toxicity, url_filter
+from . import decontaminate, imatch, licenses, near, pieces, pii, secrets, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pii": pii.op6,
     "op7_sentencepiece": pieces.op7,
     "op8_sharding": sharding.op8,
+    "op9_imatch": imatch.op9,
     "op10_decontaminate": decontaminate.op10,
 }
 ORACLE_SQL = {

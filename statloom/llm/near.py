@@ -305,5 +305,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     return signed.select("doc_id", "node").join(info, "node").select("doc_id", "class_id", "n_links", "n_texts", "node")
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class the document of the least id, and of equal rows of it one.
+
+    A null id never loses its row to another class member with an id unless it
+    is a copy of it; among rows of equal id and equal shingles the least text stays.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "kept")
+    found = scratch.keep(join(docs, **options))
+    out = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id")).cast("int")).alias("stays"), F.count("*").alias("rows"))
+    out = scratch.keep(out.where("stays = 0 or rows > 1"))
+    gone = out.where("stays = 0").select("doc_id")
+    many = out.where("stays = 1").select(F.col("doc_id").alias("_id")).withColumn("_many", F.lit(True))
+    if many.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti")
+    rows = docs.join(gone, "doc_id", "left_anti").join(many, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    once = rows.where("_many is null").drop("_id", "_many")
+    return once.unionByName(rows.where("_many").drop("_id", "_many").dropDuplicates(["doc_id", "text"]))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).drop("node")

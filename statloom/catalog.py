@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import munging
+from .plans import analysis, munging
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(munging.QUERIES)
+    return munging.QUERIES | analysis.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(munging.SQL)
+    return munging.SQL | analysis.SQL

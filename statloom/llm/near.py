@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import fresh, map_rows, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -317,12 +317,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     out = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id")).cast("int")).alias("stays"), F.count("*").alias("rows"))
     out = scratch.keep(out.where("stays = 0 or rows > 1"))
     gone = out.where("stays = 0").select("doc_id")
-    many = out.where("stays = 1").select(F.col("doc_id").alias("_id")).withColumn("_many", F.lit(True))
-    if many.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti")
-    rows = docs.join(gone, "doc_id", "left_anti").join(many, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    once = rows.where("_many is null").drop("_id", "_many")
-    return once.unionByName(rows.where("_many").drop("_id", "_many").dropDuplicates(["doc_id", "text"]))
+    key, many = fresh(docs, "_id", "_many")
+    repeated = out.where("stays = 1").select(F.col("doc_id").alias(key)).withColumn(many, F.lit(True))
+    rows = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return rows
+    rows = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    once = rows.where(F.col(many).isNull()).drop(key, many)
+    return once.unionByName(rows.where(F.col(many)).drop(key, many).dropDuplicates(["doc_id", "text"]))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

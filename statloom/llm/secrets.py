@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 #: The base patterns; letters of the first one's names match in either case.
@@ -146,11 +146,11 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     with spans are rewritten.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    work = docs.withColumns({f"_{k}": c for k, c in (("assign", spans(text, ASSIGN, 2, MIN_ASSIGNED)), ("access", spans(text, ACCESS)), ("hex", spans(text, HEX)), ("cand", spans(text, CANDIDATE)))})
-    work = work.withColumn("_base", F.concat("_assign", "_access", "_hex"))
-    free = F.filter("_cand", lambda c: ~F.exists(F.col("_base"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    found_, candidates, every, clean_ = fresh(docs, "_base", "_candidates", "_all", "_clean")
+    work = docs.withColumns({found_: F.concat(spans(text, ASSIGN, 2, MIN_ASSIGNED), spans(text, ACCESS), spans(text, HEX)), candidates: spans(text, CANDIDATE)})
+    free = F.filter(candidates, lambda c: ~F.exists(F.col(found_), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     found = F.filter(free, lambda c: is_random(F.substring(text, c["s"] + 1, c["e"] - c["s"])))
-    work = work.withColumn("_all", F.array_sort(F.concat("_base", found)))
+    work = work.withColumn(every, F.array_sort(F.concat(found_, found)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -158,10 +158,10 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         new = F.struct(x["e"].alias("at"), F.concat(acc["out"], before, F.lit(mark)).alias("out"))
         return F.when(x["s"] >= acc["at"], new).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
 
-    clean = F.aggregate("_all", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    work = work.withColumn("_clean", F.when(F.size("_all") > 0, clean).otherwise(F.col("text")))
+    clean = F.aggregate(every, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    work = work.withColumn(clean_, F.when(F.size(every) > 0, clean).otherwise(F.col("text")))
     kinds = dict(docs.dtypes)
-    out = [F.col("_clean").alias("text") if c == "text" else F.when(F.size("_all") > 0, F.length("_clean").cast(kinds[c])).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    out = [F.col(clean_).alias("text") if c == "text" else F.when(F.size(every) > 0, F.length(clean_).cast(kinds[c])).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return work.select(*out)
 
 

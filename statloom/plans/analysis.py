@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import causal, learn, moments, series, stats, survival
+from ..operators import causal, learn, models, moments, series, stats, survival
 from .munging import rounded
 
 QUERIES: dict = {}
@@ -333,3 +333,126 @@ def _(t):
 @query("distance_correlation_cells", "SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS mean_norm FROM embeddings GROUP BY 1")
 def _(t):
     return rounded(learn.norms_by(t("embeddings"), "embedding", "label"), 6)
+
+
+def _row(spark, names, values):
+    return spark.createDataFrame([tuple(float(v) for v in values)], ", ".join(f"{n} double" for n in names))
+
+
+@query("histogram", "WITH s AS (SELECT min(c_acctbal) lo, max(c_acctbal) hi FROM customer) SELECT least(floor((c_acctbal - lo) / ((hi - lo) / 8)), 7)::INT AS bin, count(*) AS n FROM customer, s GROUP BY 1")
+def _(t):
+    return models.histogram(t("customer"), "c_acctbal", 8).select("bin", "n")
+
+
+@query("ecdf", "SELECT p_size AS value, round(sum(count(*)) OVER (ORDER BY p_size) / sum(count(*)) OVER (), 8) AS share FROM part GROUP BY 1")
+def _(t):
+    return rounded(models.ecdf(t("part"), "p_size"), 8)
+
+
+@query("mean_group", "SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, count(*) AS n FROM lineitem GROUP BY 1")
+def _(t):
+    return rounded(models.mean_group(t("lineitem"), "l_extendedprice", "l_quantity", "l_suppkey").drop("intercept"), 4)
+
+
+@query("first_difference", "WITH d AS (SELECT value - lag(value) OVER w y, x - lag(x) OVER w x FROM (SELECT user_id, event_id, value, event_id % 97 AS x FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT 'x' AS term, round(sum(x * y) / sum(x * x), 8) AS estimate FROM d")
+def _(t):
+    e = t("events").select("user_id", "event_id", "value", (F.col("event_id") % 97).alias("x"))
+    return rounded(models.first_difference(e, "value", ["x"], "user_id", ["event_id"]).frame(e.sparkSession).select("term", "estimate"), 8)
+
+
+@query("staggered_att", "WITH r AS (SELECT l_suppkey u, year(l_shipdate) t, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 1994 + l_suppkey % 3 END g, avg(l_quantity) y FROM lineitem GROUP BY 1, 2, 3), m AS (SELECT g, t, avg(y) m, count(*) n FROM r GROUP BY 1, 2) SELECT a.g, a.t, round((a.m - b.m) - (c.m - d.m), 6) AS att, a.n FROM m a JOIN m b ON a.g = b.g AND b.t = a.g - 1 JOIN m c ON c.g IS NULL AND c.t = a.t JOIN m d ON d.g IS NULL AND d.t = a.g - 1")
+def _(t):
+    g = F.when(F.col("l_suppkey") % 3 != 0, (1994 + F.col("l_suppkey") % 3).cast("int"))
+    rows = t("lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("t"), g.alias("g")).agg(F.avg("l_quantity").alias("y"))
+    return rounded(models.att_gt(rows, "y", "l_suppkey", "t", "g"), 6)
+
+
+@query("vif", "WITH s AS (SELECT corr(l_quantity, l_discount) r FROM lineitem) SELECT unnest(['l_quantity', 'l_discount']) AS term, round(1 / (1 - r * r), 8) AS vif FROM s")
+def _(t):
+    return rounded(models.vif(t("lineitem"), ["l_quantity", "l_discount"]), 8)
+
+
+@query("elastic_net")
+def _(t):
+    return models.elastic_net(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], [1.0, 10.0, 100.0], 0.5)
+
+
+@query("lasso", "WITH s AS (SELECT corr(l_extendedprice, l_quantity) r, stddev_pop(l_extendedprice) sy, stddev_pop(l_quantity) sx FROM lineitem) SELECT 100.0::DOUBLE AS penalty, 'l_quantity' AS term, round(sign(r) * greatest(abs(r) - 100 / sy, 0) * sy / sx, 4) AS estimate FROM s")
+def _(t):
+    return rounded(models.elastic_net(t("lineitem"), "l_extendedprice", ["l_quantity"], [100.0]).where("term = 'l_quantity'"), 4)
+
+
+@query("hdfe")
+def _(t):
+    li = t("lineitem").withColumn("year", F.year("l_shipdate"))
+    return models.hdfe(li, "l_extendedprice", ["l_quantity", "l_discount"], ["l_suppkey", "year"]).frame(li.sparkSession)
+
+
+@query("quantile_regression")
+def _(t):
+    li = t("lineitem")
+    return models.quantile_regression(li, "l_extendedprice", ["l_quantity"], 0.5).frame(li.sparkSession).select("term", "estimate")
+
+
+@query("breusch_pagan")
+def _(t):
+    li = t("lineitem")
+    return _row(li.sparkSession, ("statistic", "df", "p_value"), models.breusch_pagan(li, "l_extendedprice", ["l_quantity", "l_discount"]))
+
+
+@query("reset_test")
+def _(t):
+    li = t("lineitem")
+    return _row(li.sparkSession, ("statistic", "df1", "df2", "p_value"), models.reset(li, "l_extendedprice", ["l_quantity", "l_discount"]))
+
+
+@query("iv_first_stage")
+def _(t):
+    li = t("lineitem").withColumn("z", F.col("l_quantity") + F.col("l_linenumber"))
+    return _row(li.sparkSession, ("statistic", "p_value"), models.first_stage(li, "l_quantity", ["z"], ["l_tax"]))
+
+
+@query("iv_sargan")
+def _(t):
+    li = t("lineitem").withColumn("z", F.col("l_quantity") + F.col("l_linenumber"))
+    return _row(li.sparkSession, ("statistic", "df", "p_value"), models.sargan(li, "l_extendedprice", [], ["l_quantity"], ["z", "l_tax"]))
+
+
+@query("cox")
+def _(t):
+    rows = t("lineitem").select("l_quantity", (F.col("l_returnflag") == "R").cast("int").alias("e"), "l_discount", "l_tax")
+    return models.cox(rows, "l_quantity", "e", ["l_discount", "l_tax"]).frame(rows.sparkSession)
+
+
+@query("competing_risks")
+def _(t):
+    rows = t("lineitem").select("l_quantity", F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(0).alias("cause"))
+    return models.cumulative_incidence(rows, "l_quantity", "cause")
+
+
+@query("granger")
+def _(t):
+    e = t("events").select("event_id", "value", (F.col("event_id") % 13).cast("double").alias("x"))
+    return _row(e.sparkSession, ("statistic", "df", "p_value"), models.granger(e, "x", "value", ["event_id"], 2))
+
+
+@query("holt_winters")
+def _(t):
+    days = t("events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
+    return models.holt_winters(days, "v", ["day"], ["event_type"], 7, 3)
+
+
+@query("anova_two_way", "WITH r AS (SELECT o_orderstatus a, o_orderpriority b, o_totalprice y FROM orders), g AS (SELECT avg(y) m FROM r), a AS (SELECT sum(n * (c.m - g.m) ** 2) s FROM (SELECT a, avg(y) m, count(*) n FROM r GROUP BY 1) c, g) SELECT 'a' AS source, round(s, 0) AS ss FROM a")
+def _(t):
+    return models.two_way_anova(t("orders"), "o_totalprice", "o_orderstatus", "o_orderpriority").where("source = 'a'").select("source", F.round("ss", 0).alias("ss"))
+
+
+@query("moran")
+def _(t):
+    c = t("customer").select("c_custkey", (F.col("c_custkey") % 40).alias("x"), F.floor(F.col("c_custkey") / 40).alias("y"), "c_acctbal")
+    return models.moran(c, "c_custkey", "x", "y", "c_acctbal", 1.5)
+
+
+@query("generate")
+def _(t):
+    return models.generate(t("region").sparkSession, 1000, {"a": ("normal", 0, 1), "b": ("integer", 1, 6), "c": ("choice", ["x", "y"])}, 3)

@@ -456,3 +456,11 @@ def _(t):
 @query("generate")
 def _(t):
     return models.generate(t("region").sparkSession, 1000, {"a": ("normal", 0, 1), "b": ("integer", 1, 6), "c": ("choice", ["x", "y"])}, 3)
+
+
+@query("event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(t):
+    from ..streaming import events
+
+    rows = events.windowed(t("events"), "ts", ["event_type"], "value")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -16,7 +16,8 @@ never its pairs.
 Defined results: words are lower-cased runs of letters, digits and non-ASCII
 characters; a text of fewer than five words is one shingle; texts without words
 are linked only to equal texts (null counts as empty); repeated rows are
-copies; empty tables give empty results; columns other than the id and the text
+copies; rows of equal id may have different texts; a row without an id is linked
+to equal texts only; empty tables give empty results; columns other than the id and the text
 are ignored whatever their names are. Shingles and nodes are 64-bit hashes.
 """
 
@@ -132,16 +133,19 @@ class Scratch:
         base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "statloom")  # a local folder only where none is named, as in tests
         self.spark, self.path = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = itertools.count()
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.path}/{next(self.count)}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a kept table that is no longer read."""
-        for f in {os.path.dirname(p) for p in df.inputFiles()}:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete kept tables that nothing reads any more."""
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[1])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -164,6 +168,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         new = scratch.keep(small)
         shape = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        scratch.drop(cur, least, large, low)
         cur = new
         if shape == last:
             break
@@ -252,7 +257,11 @@ def _verify(rows: DataFrame, size: int, threshold: float) -> DataFrame:
                         if cols[0]:
                             yield batch_of(cols)
                     key, held = row[:3], []
-                held.append((row[3], row[4], shingler.shingles(row[6]), row[5]))
+                if held and held[-1][1] == row[4]:  # a repeated row
+                    continue
+                shingles = shingler.shingles(row[6])
+                if node_of(row[6], shingles) == row[4]:  # else another text of the same id
+                    held.append((row[3], row[4], shingles, row[5]))
         if key is not None:
             cols = flush()
             if cols[0]:
@@ -300,8 +309,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
     linked = scratch.keep(roots.join(counts, "node", "left").join(nodes.select("node", "least_id"), "node"))
     least = scratch.keep(linked.groupBy("root").agg(F.min("least_id").alias("class_id")))
-    linked = scratch.keep(linked.join(least, "root").select("node", "class_id", "n_texts", "n_docs"))
+    linked, rooted = scratch.keep(linked.join(least, "root").select("node", "class_id", "n_texts", "n_docs")), linked
     info = scratch.keep(nodes.select("node", "copies", "least_id").join(linked, "node", "left").select("node", F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts")))
+    scratch.drop(nodes, full, comp, sizes, placed, found, rooted, linked, least)
     return signed.select("doc_id", "node").join(info, "node").select("doc_id", "class_id", "n_links", "n_texts", "node")
 
 

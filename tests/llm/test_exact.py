@@ -58,6 +58,14 @@ def test_near_against_all_pairs(spark):
     assert kept == {root(i) for i in range(len(texts))}
 
 
+def test_near_with_repeated_rows_and_ids(spark):
+    base = some_text(random.Random(1), 100).split()
+    near_copy, other = [*base[:-1], "edit"], some_text(random.Random(2), 100)
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (1, other), (2, " ".join(near_copy)), (3, other), (4, " ".join(base))]
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_texts) for r in near.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1, 0), (1, 1, 3, 1), (1, 1, 3, 1), (2, 1, 3, 1), (3, 1, 1, 0), (4, 1, 3, 1)]
+
+
 def test_prefix_is_shortened_until_the_recall_is_reached():
     d = near.prefix_length(0.8, 0.997, 20, 10)
     assert 1 - (1 - 0.8**d) ** 20 >= 0.997 > 1 - (1 - 0.8 ** (d + 1)) ** 20

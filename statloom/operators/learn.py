@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .moments import products
-
 
 def _vectors(df: DataFrame, column: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
@@ -25,14 +22,14 @@ def kmeans(df: DataFrame, column: str, id_col: str, k: int, seed: int = 1, round
 
 
 def pca(df: DataFrame, column: str, k: int) -> DataFrame:
-    """Variance and share of the first components, from one matrix of products."""
-    width = df.agg(F.max(F.size(column))).first()[0]
-    cols = [F.col(column)[i].cast("double") for i in range(width)]
-    s = products(df, [F.lit(1.0), *cols])
-    n = s[0, 0]
-    cov = (s[1:, 1:] - np.outer(s[0, 1:], s[0, 1:]) / n) / (n - 1)
-    values = np.sort(np.linalg.eigvalsh(cov))[::-1]
-    return df.sparkSession.createDataFrame([(i + 1, float(v), float(v / values.sum())) for i, v in enumerate(values[:k])], "component int, variance double, share double")
+    """Variance and share of the first components; the Gram matrix is summed on the executors."""
+    from pyspark.ml.feature import PCA
+
+    rows = _vectors(df.where(F.col(column).isNotNull()), column)
+    width = rows.agg(F.max(F.size(column))).first()[0]
+    model = PCA(k=k, inputCol="__features", outputCol="__scores").fit(rows)
+    total = sum(rows.agg(*(F.var_samp(F.col(column)[i].cast("double")).alias(f"v{i}") for i in range(width))).first())
+    return df.sparkSession.createDataFrame([(i + 1, float(v * total), float(v)) for i, v in enumerate(model.explainedVariance.toArray())], "component int, variance double, share double")
 
 
 def association_rules(df: DataFrame, items: str, support: float, confidence: float) -> DataFrame:

@@ -274,6 +274,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     """doc_id, class_id (the least id of the documents that links connect), n_links (documents linked, copies included), n_texts (different texts linked) and node of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
+    # merge hints: these joins grow with the corpus, so they take the same way at every size
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     prefix = prefix_length(threshold, RECALL, trees)
@@ -291,14 +292,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     nodes = scratch.keep(signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("buckets").alias("buckets")))
     met = nodes.select("node", F.explode("buckets").alias("bucket"))
     full = scratch.keep(met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").select("bucket", "first"))
-    edges = met.join(full, "bucket").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    edges = met.join(full.hint("merge"), "bucket").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     comp = scratch.keep(components(edges, scratch).withColumnRenamed("root", "comp"))
 
     # blocks of a component: one up to BLOCK nodes, else pairs of blocks
     sizes = scratch.keep(comp.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    placed = comp.join(sizes, "comp").join(nodes.select("node", "copies", "least_id"), "node")
+    placed = comp.join(sizes, "comp").join(nodes.select("node", "copies", "least_id").hint("merge"), "node")
     placed = scratch.keep(placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")))
-    texts = rows.join(placed.withColumnRenamed("least_id", "doc_id"), "doc_id")
+    texts = rows.join(placed.withColumnRenamed("least_id", "doc_id").hint("merge"), "doc_id")
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("comp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "copies", "text")
     parts = spark.conf.get("spark.sql.shuffle.partitions")
@@ -310,9 +311,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     linked = scratch.keep(roots.join(counts, "node", "left").join(nodes.select("node", "least_id"), "node"))
     least = scratch.keep(linked.groupBy("root").agg(F.min("least_id").alias("class_id")))
     linked, rooted = scratch.keep(linked.join(least, "root").select("node", "class_id", "n_texts", "n_docs")), linked
-    info = scratch.keep(nodes.select("node", "copies", "least_id").join(linked, "node", "left").select("node", F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts")))
+    info = scratch.keep(nodes.select("node", "copies", "least_id").join(linked.hint("merge"), "node", "left").select("node", F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts")))
     scratch.drop(nodes, full, comp, sizes, placed, found, rooted, linked, least)
-    return signed.select("doc_id", "node").join(info, "node").select("doc_id", "class_id", "n_links", "n_texts", "node")
+    return signed.select("doc_id", "node").join(info.hint("merge"), "node").select("doc_id", "class_id", "n_links", "n_texts", "node")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -329,7 +330,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     gone = out.where("stays = 0").select("doc_id")
     key, many = fresh(docs, "_id", "_many")
     repeated = out.where("stays = 1").select(F.col("doc_id").alias(key)).withColumn(many, F.lit(True))
-    rows = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return rows
     rows = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col(key)), "left")

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, map_rows, table
+from .common import SLICE_ROWS, fresh, map_rows, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -221,6 +221,13 @@ def _joined(sets: list[np.ndarray], copies: list[int], left: list[int], right: l
     return texts, documents, forest
 
 
+def _rows(batches):
+    """Rows of Arrow batches as tuples, ``SLICE_ROWS`` of them Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns), strict=True)
+
+
 def _verify(rows: DataFrame, size: int, threshold: float) -> DataFrame:
     """Rows (comp, p, q, block, node, copies, text), sorted by (comp, p, q), to counts and forest edges."""
     import pyarrow as pa
@@ -249,19 +256,18 @@ def _verify(rows: DataFrame, size: int, threshold: float) -> DataFrame:
         def batch_of(cols):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "texts", "documents", "other"])
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("comp", "p", "q", "block", "node", "copies", "text")), strict=True):
-                if row[:3] != key:
-                    if key is not None:
-                        cols = flush()
-                        if cols[0]:
-                            yield batch_of(cols)
-                    key, held = row[:3], []
-                if held and held[-1][1] == row[4]:  # a repeated row
-                    continue
-                shingles = shingler.shingles(row[6])
-                if node_of(row[6], shingles) == row[4]:  # else another text of the same id
-                    held.append((row[3], row[4], shingles, row[5]))
+        for row in _rows(batches):
+            if row[:3] != key:
+                if key is not None:
+                    cols = flush()
+                    if cols[0]:
+                        yield batch_of(cols)
+                key, held = row[:3], []
+            if held and held[-1][1] == row[4]:  # a repeated row
+                continue
+            shingles = shingler.shingles(row[6])
+            if node_of(row[6], shingles) == row[4]:  # else another text of the same id
+                held.append((row[3], row[4], shingles, row[5]))
         if key is not None:
             cols = flush()
             if cols[0]:

@@ -244,7 +244,7 @@ def drop_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
         m = sent.value
         for batch in batches:
-            keep = [m.score(t) < cut for t in batch.column(at).to_pylist()]
+            keep = [m.score(t.as_py()) < cut for t in batch.column(at)]  # a text at a time
             kept = batch.filter(pa.array(keep, pa.bool_()))
             if kept.num_rows:
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns, arrow, strict=True)], schema=arrow)

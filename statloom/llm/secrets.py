@@ -5,6 +5,9 @@ strings of one character class are scanned with a sliding window whose Shannon
 entropy is kept up to date by incremental counts (one symbol enters, one
 leaves); the largest window entropy is held against the class's threshold.
 Candidates on the allow list, and those that touch a base span, are not added.
+A path, flag or name is on it only if every part between its separators is a
+word, a number or short; else a candidate counts whole, by the class of its most
+telling part.
 
 Defined results: null and empty texts have no spans; positions are code points,
 ends are exclusive; equal texts have equal spans; other columns are ignored
@@ -32,9 +35,13 @@ WINDOW = 20
 #: Bits a symbol from which a window of a class is random. Plain words never count.
 THRESHOLDS = (
     ("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0),
+    ("hex part", r"(?<![A-Za-z0-9])(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{20,}(?![A-Za-z0-9])", 3.0),
+    ("alnum part", r"(?<![A-Za-z0-9])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[0-9a-z]{20,}(?![A-Za-z0-9])", 3.6),
     ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z]).+$", 3.8),
     ("alnum", r"^(?=.*[0-9])(?=.*[A-Za-z]).+$", 3.6),
 )
+#: An ordinary part of a path, flag or name: a UUID, a few characters, words with digits at the end, or digits.
+PART = r"(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[A-Za-z0-9]{1,7}|(?:[A-Z]?[a-z]++)++[0-9]*+|[A-Z]++[0-9]*+|[0-9]++)(?![A-Za-z0-9])"
 #: Strings that look random and aren't secrets.
 ALLOWED = (
     r"(?i)example",
@@ -43,7 +50,7 @@ ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"(?i)^sha(1|256|384|512)-",
     r"^(0123456789|abcdefghij|ABCDEFGHIJ)",
-    r"^[/_=+-]|//|--|__",
+    rf"^(?=[/_=+-]|.*(?://|--|__))(?:[/_=+-]++|{PART})++$",
 )
 
 _SPANS = "array<struct<s:int,e:int>>"

@@ -1,8 +1,10 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences; each is normalised and mapped to the identifier
-of a known licence sentence; the sequence of identifiers is matched against
+A text is normalised and cut into sentences; known licence sentences, of any
+length, give their identifiers; the sequence of identifiers is matched against
 ordered rules, longer ones first, and what a rule matched isn't matched again.
+A sentence may be wrapped over lines, with comment marks at their heads; a line
+on its own is a sentence too, a blank line always ends one.
 
 Defined results: null and empty texts, and texts without a known sentence, have
 an empty sequence and no licences; repeated sentences count each time; a known
@@ -12,25 +14,32 @@ ignored whatever their names are.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Identifier and normalised sentence (lower case, single spaces, no punctuation at the ends).
+#: Identifier and normalised sentence (lower case, single spaces, no punctuation at the ends); short forms and whole ones.
 SENTENCES = (
     ("apache_by", "licensed under the apache license, version 2.0"),
+    ("apache_by", "licensed under the apache license, version 2.0 the license"),
     ("apache_may", "you may not use this file except in compliance with the license"),
     ("apache_copy", "you may obtain a copy of the license at"),
     ("apache_asis", "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, without warranties or conditions of any kind, either express or implied"),
     ("apache_see", "see the license for the specific language governing permissions and limitations under the license"),
     ("mit_by", "released under the mit license"),
     ("mit_grant", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit_grant", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files the software, to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions"),
     ("mit_notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit_asis", "the software is provided as is, without warranty of any kind, express or implied"),
+    ("mit_asis", "the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
     ("gpl3_by", "this work is licensed under the gnu general public license, version 3"),
     ("gpl_free", "this program is free software"),
     ("gpl_terms", "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl_terms", "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or at your option any later version"),
+    ("gpl_terms", "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 2 of the license, or at your option any later version"),
     ("gpl_hope", "this program is distributed in the hope that it will be useful, but without any warranty"),
     ("bsd_grant", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd_source", "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
@@ -60,24 +69,35 @@ RULES = (
     ("CC0-1.0", ("cc0_by",)),
     ("proprietary", ("reserved",)),
 )
-#: A sentence ends at a line's end, or at one of .!?;: before white space or the end.
-SENTENCE_END = r"[.!?;:]*(?:\s*\n\s*|(?<=[.!?;:])\s+)"
-#: Only sentences with one of these words are looked up.
-HINT = r"(?i)licen[sc]e|permi|redistribut|warrant|copyright|free software|rights reserved|neighboring rights"
+#: Only texts with one of these words are looked at.
+HINT = r"(?i)licen[sc]e|permi|redistribut|warrant|copyright|free\W+software|rights\W+reserved|neighboring"
+#: Comment marks at a line's head, and those that close a comment or a box at its end.
+HEAD = r"(?m)^[^\S\n]*+(?:(?:/\*++|\*++/?|//++|#++|;++|--++|%++|>++|<!--|\|++|dnl\b|@?rem\b)[^\S\n]*+)++"
+TAIL = r"(?m)[^\S\n]*+(?:\*++/|-->|\*++|#++|\|++)[^\S\n]*+$"
+
+
+def normalise(text: Column) -> Column:
+    """Lower case without quotes, brackets and comment marks; a line break stays, a sentence's end is two."""
+    s = F.regexp_replace(F.lower(text), r"\R", "\n")
+    s = F.regexp_replace(F.regexp_replace(s, HEAD, ""), TAIL, "")
+    s = F.regexp_replace(s, r"""["'()*#/“”‘’`]{2,}|["'()*#“”‘’`]""", "")
+    s = F.regexp_replace(s, r"[.!?;:]++(?=\s|$)", "\n\n")
+    return F.regexp_replace(F.regexp_replace(s, r"[^\S\n]++", " "), r" ?\n ?", "\n")
 
 
-def normalise(sentence: Column) -> Column:
-    s = F.regexp_replace(F.lower(sentence), r"""["'()*#/]{2,}|["'()*#]""", "")
-    s = F.regexp_replace(s, r"\s+", " ")
-    return F.regexp_replace(s, r"^[\s\p{Punct}]+|[\s\p{Punct}]+$", "")
+def known_sentences() -> str:
+    """Pattern of the known sentences of a normalised text; any of their spaces may be a line break."""
+    each = sorted({s for _, s in SENTENCES}, key=len, reverse=True)
+    said = "|".join("[ \\n]".join(re.escape(w) for w in s.split(" ")) for s in each)
+    return rf"(?:^|\n)[\p{{Punct}} ]*+({said})(?=[\p{{Punct}} ]*+(?:\n|$))"
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order."""
-    known = F.create_map(*(F.lit(v) for i, s in SENTENCES for v in (s, i)))
-    sentences = F.filter(F.split(text, SENTENCE_END, -1), lambda s: (F.length(s) < 400) & F.rlike(s, F.lit(HINT)))
-    ids = F.transform(sentences, lambda s: F.element_at(known, normalise(s)))
-    return F.when(F.rlike(text, F.lit(HINT)), F.filter(ids, lambda i: i.isNotNull())).otherwise(F.expr("cast(array() as array<string>)"))
+    known = F.create_map(*(F.lit(v) for s, i in {s: i for i, s in SENTENCES}.items() for v in (s, i)))
+    found = F.regexp_extract_all(normalise(text), F.lit(known_sentences()), F.lit(1))
+    ids = F.transform(found, lambda s: F.element_at(known, F.replace(s, F.lit("\n"), F.lit(" "))))
+    return F.when(F.rlike(text, F.lit(HINT)), ids).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def licences(ids: Column, rules=RULES) -> Column:

@@ -1,9 +1,11 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Base kinds (email, ip, card, phone) follow fixed patterns; every base span is
-kept whatever its score. Further kinds (iban by mod-97, imei and national ids
-by Luhn, ssn by its ranges) are added if their score, with the words nearby,
-reaches ``MIN_SCORE``.
+kept whatever its score. Further kinds (iban by its country's length and mod-97,
+imei and national ids by Luhn, ssn by its ranges) are added if their score, with
+the words nearby, reaches ``MIN_SCORE``. National ids are Canada's SIN, Sweden's
+personnummer and South Africa's id. An imei has a card's shape: words of devices,
+and none of cards, nearby add it beside the card's span.
 
 Defined results: null and empty texts have no spans; equal texts have equal
 spans; texts of any length are scanned in time linear in their length; other
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "imei")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "imei", "national")
 MIN_SCORE = 0.6
 CONTEXT_CHARS = 48
 
@@ -29,13 +31,25 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _IMEI = re.compile(r"(?<![0-9])[0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{6}[ -]?[0-9](?![0-9])")
+_NATIONAL = re.compile(
+    r"(?<![0-9-])(?:[1-79][0-9]{2}([ -]?)[0-9]{3}\1[0-9]{3}|[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:[-+][0-9]{4}|[0-9]{4}[01][0-9]{2}))(?![0-9-])"
+)
 _DIGIT = re.compile(r"[0-9]")
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, said in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in said.split()
+}
 
 #: Score of a confirmed span without context.
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "imei": 0.3}
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "imei": 0.4, "national": 0.4}
 #: Words that raise a kind's score if they stand nearby.
 RAISE = {
     "email": ("mail", "contact", "write"),
@@ -45,6 +59,7 @@ RAISE = {
     "iban": ("iban", "bank", "account", "konto"),
     "ssn": ("ssn", "social", "security"),
     "imei": ("imei", "device", "serial"),
+    "national": ("personnummer", "identity", "insurance", "social", "citizen", "sin"),
 }
 #: Words that lower any score.
 LOWER = ("example", "sample", "version", "test", "dummy")
@@ -102,30 +117,59 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[str, int, int]]:
+    """IBANs, in groups or not: as long as their country says, or, in other countries, up to the last end of a group that mod-97 confirms."""
+    out, end = [], 0
+    for m in _IBAN.finditer(text):
+        start, at, n, ends = m.start(), m.start(), 0, {}
+        if start < end:
+            continue
+        while n < 34 and at < len(text):
+            at += n > 0 and text[at] == " "
+            if not (text[at : at + 1].isascii() and text[at : at + 1].isalnum() and not text[at].islower()):
+                break
+            at, n = at + 1, n + 1
+            if not (text[at : at + 1].isascii() and text[at : at + 1].isalnum()):
+                ends[n] = at
+        known = IBAN_LENGTHS.get(m[0][:2])
+        for k in sorted((k for k in ends if (k == known if known else k >= 15)), reverse=True):
+            if mod97(text[start : ends[k]]):
+                end = ends[k]
+                out.append(("iban", start, end))
+                break
+    return out
+
+
 def proposed(text: str) -> list[tuple[str, int, int]]:
     """Confirmed spans of the further kinds."""
-    out = [("iban", *m.span()) for m in _IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0])]
+    out = ibans(text)
     out += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     out += [("imei", *m.span()) for m in _IMEI.finditer(text) if luhn(_digits(m[0]))]
+    out += [("national", *m.span()) for m in _NATIONAL.finditer(text) if luhn(_digits(m[0]))]
     return out
 
 
+def near_words(text: str, start: int, end: int) -> set[str]:
+    return set(re.findall(r"[a-z]+", f"{text[max(0, start - CONTEXT_CHARS) : start]} {text[end : end + CONTEXT_CHARS]}".lower()))
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
     """A confirmed span's score: 0.25 more for a word of its kind nearby, 0.3 less for a word that marks examples."""
-    near = set(re.findall(r"[a-z]+", f"{text[max(0, start - CONTEXT_CHARS) : start]} {text[end : end + CONTEXT_CHARS]}".lower()))
+    near = near_words(text, start, end)
     s = BASE_SCORE[kind] + 0.25 * bool(near & set(RAISE[kind])) - 0.3 * bool(near & set(LOWER))
     return round(min(1.0, max(0.0, s)), 2)
 
 
 def find(text: str | None, min_score: float = MIN_SCORE) -> list[tuple[str, int, int, float]]:
-    """All spans with scores: base spans always, others from ``min_score`` on and where no base span lies."""
+    """All spans with scores: base spans always, others from ``min_score`` on and where no base span lies (an imei may lie on a card's)."""
     if not text:
         return []
     base = base_spans(text)
     out = [(*x, score(text, *x)) for x in base]
     for x in proposed(text):
         s = score(text, *x)
-        if s >= min_score and not any(a < x[2] and x[1] < b for _, a, b in base):
+        device = x[0] == "imei" and not near_words(text, x[1], x[2]) & set(RAISE["card"])
+        if s >= min_score and not any(a < x[2] and x[1] < b and not (device and k == "card") for k, a, b in base):
             out.append((*x, s))
     return out
 

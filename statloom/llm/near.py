@@ -16,8 +16,8 @@ never its pairs.
 Defined results: words are lower-cased runs of letters, digits and non-ASCII
 characters; a text of fewer than five words is one shingle; texts without words
 are linked only to equal texts (null counts as empty); repeated rows are
-copies; rows of equal id may have different texts; a row without an id is linked
-to equal texts only; empty tables give empty results; columns other than the id and the text
+copies; rows of equal id may have different texts; a row without an id is
+linked like any other; empty tables give empty results; columns other than the id and the text
 are ignored whatever their names are. Shingles and nodes are 64-bit hashes.
 """
 
@@ -278,24 +278,32 @@ def _verify(rows: DataFrame, size: int, threshold: float) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, block: int = BLOCK, trees: int = TREES) -> DataFrame:
     """doc_id, class_id (the least id of the documents that links connect), n_links (documents linked, copies included), n_texts (different texts linked) and node of every document."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = Scratch(docs.sparkSession, "near")
+    # kept, so that a row has the same key whenever it is read
+    rows = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")))
+    out = _linked(rows, scratch, threshold, size, block, trees).drop("row", "class_node")
+    scratch.drop(rows)
+    return out
+
+
+def _linked(rows: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, size: int = SHINGLE, block: int = BLOCK, trees: int = TREES) -> DataFrame:
+    """The result of join() for kept rows (doc_id, text, row), with row and class_node, the same number for all rows of a class."""
+    spark = rows.sparkSession
     # merge hints: these joins grow with the corpus, so they take the same way at every size
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     prefix = prefix_length(threshold, RECALL, trees)
 
     def make():
         shingler, forest = Shingler(size), Forest(trees, prefix)
 
-        def row(doc_id, text):
+        def row(doc_id, text, key):
             s = shingler.shingles(text)
-            return doc_id, node_of(text, s), forest.buckets(s)
+            return doc_id, key, node_of(text, s), forest.buckets(s)
 
         return row
 
-    signed = scratch.keep(map_rows(rows, make, f"doc_id {kind}, node long, buckets array<long>"))
-    nodes = scratch.keep(signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("buckets").alias("buckets")))
+    signed = scratch.keep(map_rows(rows, make, f"doc_id {kind}, row long, node long, buckets array<long>"))
+    nodes = scratch.keep(signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.first("buckets").alias("buckets")))
     met = nodes.select("node", F.explode("buckets").alias("bucket"))
     full = scratch.keep(met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").select("bucket", "first"))
     edges = met.join(full.hint("merge"), "bucket").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -303,9 +311,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
     # blocks of a component: one up to BLOCK nodes, else pairs of blocks
     sizes = scratch.keep(comp.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    placed = comp.join(sizes, "comp").join(nodes.select("node", "copies", "least_id").hint("merge"), "node")
+    placed = comp.join(sizes, "comp").join(nodes.select("node", "copies", "row").hint("merge"), "node")
     placed = scratch.keep(placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")))
-    texts = rows.join(placed.withColumnRenamed("least_id", "doc_id").hint("merge"), "doc_id")
+    texts = rows.select("row", "text").join(placed.hint("merge"), "row")
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("comp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "copies", "text")
     parts = spark.conf.get("spark.sql.shuffle.partitions")
@@ -316,32 +324,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
     linked = scratch.keep(roots.join(counts, "node", "left").join(nodes.select("node", "least_id"), "node"))
     least = scratch.keep(linked.groupBy("root").agg(F.min("least_id").alias("class_id")))
-    linked, rooted = scratch.keep(linked.join(least, "root").select("node", "class_id", "n_texts", "n_docs")), linked
-    info = scratch.keep(nodes.select("node", "copies", "least_id").join(linked.hint("merge"), "node", "left").select("node", F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts")))
+    linked, rooted = scratch.keep(linked.join(least, "root").select("node", "root", "class_id", "n_texts", "n_docs")), linked
+    info = scratch.keep(nodes.select("node", "copies", "least_id").join(linked.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("class_node"), F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts")))
     scratch.drop(nodes, full, comp, sizes, placed, found, rooted, linked, least)
-    return signed.select("doc_id", "node").join(info.hint("merge"), "node").select("doc_id", "class_id", "n_links", "n_texts", "node")
+    return signed.select("doc_id", "row", "node").join(info.hint("merge"), "node").select("doc_id", "class_id", "n_links", "n_texts", "node", "row", "class_node")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the document of the least id, and of equal rows of it one.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class one row, that of the least id.
 
-    A null id never loses its row to another class member with an id unless it
-    is a copy of it; among rows of equal id and equal shingles the least text stays.
+    Rows without an id come after those with one; among rows of equal id the
+    least node stays, and of copies the first row.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "kept")
-    found = scratch.keep(join(docs, **options))
-    out = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id")).cast("int")).alias("stays"), F.count("*").alias("rows"))
-    out = scratch.keep(out.where("stays = 0 or rows > 1"))
-    gone = out.where("stays = 0").select("doc_id")
-    key, many = fresh(docs, "_id", "_many")
-    repeated = out.where("stays = 1").select(F.col("doc_id").alias(key)).withColumn(many, F.lit(True))
-    rows = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    if repeated.isEmpty():
-        return rows
-    rows = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col(key)), "left")
-    once = rows.where(F.col(many).isNull()).drop(key, many)
-    return once.unionByName(rows.where(F.col(many)).drop(key, many).dropDuplicates(["doc_id", "text"]))
+    scratch = Scratch(docs.sparkSession, "kept")
+    (key,) = fresh(docs, "_row")
+    keyed = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()))
+    rows = keyed.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(key).alias("row"))
+    found = scratch.keep(_linked(rows, scratch, **options).where("n_links > 0").select("class_node", "row", F.struct(F.col("doc_id").isNull(), "doc_id", "node", "row").alias("place")))
+    least = scratch.keep(found.groupBy("class_node").agg(F.min("place").alias("least")).select("class_node", F.col("least.row").alias("first")))
+    gone = scratch.keep(found.join(least.hint("merge"), "class_node").where("row <> first").select(F.col("row").alias(key)))
+    scratch.drop(found, least)
+    return keyed.join(gone.hint("merge"), key, "left_anti").select(*docs.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

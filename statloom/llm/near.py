@@ -1,11 +1,11 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
-
-Texts are sets of five-word shingles. Each of ``TREES`` trees orders the texts
-by its own sequence of MinHash values, as a sorted trie; texts that share a
-prefix are candidates. Matching starts at the longest prefix, which is
-shortened until the share of pairs at the threshold that meet in some tree
-reaches the target recall; every candidate is then verified exactly on whole
-shingle sets.
+"""N-gram Jaccard join with banded MinHash LSH.
+
+Texts are sets of five-word shingles. Each of ``TREES`` bands hashes the first
+values of its own sequence of MinHash values into a bucket; texts that share a
+bucket are candidates. The band length is the longest at which pairs at the
+threshold meet in some band with the target recall; it doesn't follow the data,
+as a forest of sorted prefix tries would. Every candidate is then verified
+exactly on whole shingle sets.
 
 Exact copies (equal shingle sets) are one node throughout. Candidates that hang
 together form a component; a component is verified in blocks of about ``BLOCK``

@@ -17,6 +17,7 @@ whatever their names are.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,60 +54,97 @@ ALLOWED = (
     rf"^(?=[/_=+-]|.*(?://|--|__))(?:[/_=+-]++|{PART})++$",
 )
 
-_SPANS = "array<struct<s:int,e:int>>"
+#: Symbols of the alphabet whose counts share one number, and the bits of a count.
+PACKED, COUNT_BITS = 12, 5
+#: Matches that are put in place together: keeps the work in proportion to their number.
+RUN = 256
+
+_SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
 def _none() -> Column:
     return F.expr(f"cast(array() as {_SPANS})")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _placed(rows: Column, start: Column, least: int) -> Column:
+    """Spans of matches (p: text before, f: match, g: group) from a position on."""
+    first = F.struct(start.alias("at"), _none().alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + F.length(x["p"])
+        e = s + F.length(x["f"])
+        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["f"].alias("v")))
+        return F.struct(e.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(rows, first, step, lambda a: a["out"])
+
+
 def spans(text: Column, pattern: str, keep_group: int = 0, least: int = 0) -> Column:
-    """Spans of all leftmost, non-overlapping matches; those whose group is shorter than ``least`` are dropped.
+    """Spans (s, e, v: the match) of all leftmost, non-overlapping matches; those whose group is shorter than ``least`` are dropped.
 
     The pieces between the matches and the matches themselves give the
-    positions: each start is the length of all that stands before.
+    positions: each start is the length of all that stands before. Lengths are
+    summed over runs of matches first, so that no array grows past a run.
     """
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(keep_group)) if keep_group else found
-    rows = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("p"), found.alias("f"), group.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+    every = bound(found, lambda f: F.arrays_zip(F.slice(parts, 1, F.size(f)).alias("p"), f.alias("f"), (group if keep_group else f).alias("g")))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["p"])
-        e = s + F.length(x["f"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e")))
-        return F.struct(e.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def place(rows: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN).cast("int")), lambda k: F.slice(rows, k * RUN + 1, RUN))
+        return bound(runs, starts)
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(rows, start, step, lambda a: a["out"])).otherwise(_none())
+    def starts(runs: Column) -> Column:
+        long = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + F.length(x["p"]) + F.length(x["f"])))
+        at = F.aggregate(long, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.flatten(F.zip_with(runs, F.slice(at, 1, F.size(runs)), lambda r, s: _placed(r, s, least)))
+
+    return F.when(F.rlike(text, F.lit(pattern)), bound(every, place)).otherwise(_none())
 
 
 def window_entropy(value: Column, size: int = WINDOW) -> Column:
     """Largest Shannon entropy, in bits, of the windows of ``size`` symbols of a candidate.
 
-    The state holds a count for each symbol of the alphabet and the sum of
-    c*log2(c); a step changes the counts of the entering and leaving symbol only.
+    The state holds the counts of the alphabet's symbols, ``PACKED`` of them to
+    a number, and the sum of c*log2(c); a step adds the entering symbol's one
+    and takes the leaving symbol's. Time is linear in the candidate's length.
     """
+    if size >= 1 << COUNT_BITS:
+        raise ValueError(f"windows of at most {(1 << COUNT_BITS) - 1} symbols")
     weigh = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(size + 2)))
-    symbols = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    zero = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
-    steps = F.sequence(F.lit(1), F.length(value))
-    start = F.struct(zero.alias("n"), F.lit(0.0).alias("w"), F.lit(1e9).alias("least"))
+    words = -(-(len(ALPHABET) + 1) // PACKED)
+    # a symbol is its number among the packed counts (from 1) and its count's place there
+    code = lambda c: F.struct((F.floor(c / PACKED) + 1).cast("int").alias("at"), ((c % PACKED) * COUNT_BITS).cast("int").alias("by"))
+    symbols = F.transform(F.split(value, ""), lambda c: code(F.instr(F.lit(ALPHABET), c)))
+    shift = lambda n, by: F.call_function("shiftleft", F.lit(n).cast("long"), by)
+    held = lambda n, x: F.call_function("shiftright", F.element_at(n, x["at"]), x["by"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+
+    def scan(all_: Column) -> Column:
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("n"), F.lit(0.0).alias("w"), F.lit(1e9).alias("least"), F.lit(0).alias("i"))
+
+        def changed(n: Column, w: Column, x: Column, by: int) -> Column:
+            return F.struct(F.transform(n, lambda c, k: F.when(k + 1 == x["at"], c + shift(by, x["by"])).otherwise(c)).alias("n"), w.alias("w"))
+
+        def step(acc: Column, into: Column) -> Column:
+            i = acc["i"] + 1
+
+            def entered(s: Column) -> Column:
+                out = F.element_at(all_, F.greatest(i - size, F.lit(1)))
+                gone = held(s["n"], out)
+                left = changed(s["n"], s["w"] + F.element_at(weigh, gone) - F.element_at(weigh, gone + 1), out, -1)
+                return bound(F.when(i > size, left).otherwise(s), lambda t: F.struct(t["n"].alias("n"), t["w"].alias("w"), F.when(i >= size, F.least(acc["least"], t["w"])).otherwise(acc["least"]).alias("least"), i.alias("i")))
 
-    def of(counts: Column, symbol: Column) -> Column:
-        return F.element_at(counts, symbol + 1)
+            had = held(acc["n"], into)
+            return bound(changed(acc["n"], acc["w"] + F.element_at(weigh, had + 2) - F.element_at(weigh, had + 1), into, 1), entered)
 
-    def step(acc: Column, i: Column) -> Column:
-        into = F.element_at(symbols, i)
-        leaves = i > size
-        out = F.when(leaves, F.element_at(symbols, F.greatest(i - size, F.lit(1)))).otherwise(F.lit(-1))
-        had, gone = of(acc["n"], into), F.when(leaves, of(acc["n"], F.greatest(out, F.lit(0)))).otherwise(F.lit(0))
-        gone = F.when(out == into, gone + 1).otherwise(gone)
-        w = acc["w"] + F.element_at(weigh, had + 2) - F.element_at(weigh, had + 1)
-        w = F.when(leaves, w + F.element_at(weigh, F.greatest(gone, F.lit(1))) - F.element_at(weigh, gone + 1)).otherwise(w)
-        counts = F.transform(acc["n"], lambda c, k: c + F.when(k == into, F.lit(1)).otherwise(F.lit(0)) - F.when(k == out, F.lit(1)).otherwise(F.lit(0)))
-        return F.struct(counts.alias("n"), w.alias("w"), F.when(i >= size, F.least(acc["least"], w)).otherwise(acc["least"]).alias("least"))
+        return F.aggregate(all_, start, step, lambda a: F.lit(math.log2(size)) - a["least"] / size)
 
-    return F.aggregate(steps, start, step, lambda a: F.lit(math.log2(size)) - a["least"] / size)
+    return bound(symbols, scan)
 
 
 def is_random(value: Column) -> Column:
@@ -121,14 +159,14 @@ def is_random(value: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and an array of spans (s, e) per kind."""
+    """doc_id, text and an array of spans (s, e, v: the matched text) per kind."""
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", spans(text, ASSIGN, 2, MIN_ASSIGNED).alias("assign"), spans(text, ACCESS).alias("access"), spans(text, HEX).alias("hex"), spans(text, CANDIDATE).alias("candidates"))
     base = F.concat("assign", "access", "hex")
     # written out as lambdas over one struct, so that the base spans are built once a row
     free = F.filter("candidates", lambda c: ~F.exists(F.col("base"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    found = F.filter(free, lambda c: is_random(F.substring(text, c["s"] + 1, c["e"] - c["s"])))
+    found = F.filter(free, lambda c: is_random(c["v"]))
     return rows.withColumn("base", base).withColumn("entropy", found).select("doc_id", "text", *KINDS)
 
 
@@ -156,7 +194,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     found_, candidates, every, clean_ = fresh(docs, "_base", "_candidates", "_all", "_clean")
     work = docs.withColumns({found_: F.concat(spans(text, ASSIGN, 2, MIN_ASSIGNED), spans(text, ACCESS), spans(text, HEX)), candidates: spans(text, CANDIDATE)})
     free = F.filter(candidates, lambda c: ~F.exists(F.col(found_), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    found = F.filter(free, lambda c: is_random(F.substring(text, c["s"] + 1, c["e"] - c["s"])))
+    found = F.filter(free, lambda c: is_random(c["v"]))
     work = work.withColumn(every, F.array_sort(F.concat(found_, found)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

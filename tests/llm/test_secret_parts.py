@@ -1,6 +1,10 @@
 """Secrets in paths, flags and names; ordinary paths, flags and names."""
 
 import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
 
 from statloom.llm import secrets
 
@@ -44,3 +48,30 @@ def test_random_keys_are_found(spark):
     df = spark.createDataFrame(list(enumerate(keys)), "doc_id long, text string")
     lost = [r.doc_id for r in secrets.scan(df).collect() if not (r.entropy or r.assign or r.access or r.hex)]
     assert lost == []
+
+
+def _entropy(value: str, size: int = 20) -> float:
+    from collections import Counter
+    from math import log2
+
+    return max(-sum(c / size * log2(c / size) for c in Counter(value[i : i + size]).values()) for i in range(len(value) - size + 1))
+
+
+def test_window_entropy_is_that_of_every_window(spark):
+    rng = random.Random(3)
+    values = ["".join(rng.choice(a) for _ in range(n)) for n in (20, 21, 39, 64, 300) for a in ("ab", "0123456789abcdef", secrets.ALPHABET)]
+    values.append("a" * 50)
+    got = {r["v"]: r["h"] for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.window_entropy(F.col("v")).alias("h")).collect()}
+    for v in values:
+        assert got[v] == pytest.approx(_entropy(v), abs=1e-9)
+
+
+def test_long_candidates_and_many_matches(spark):
+    rng = random.Random(4)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200_000))
+    many = "token=abcdefgh1 x " * 2_000
+    rows = spark.createDataFrame([(1, f"see {key} there"), (2, many)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(rows)).collect()}
+    assert got[1]["spans"] == f"entropy:4:{4 + len(key)}"
+    at = [m.span() for m in re.finditer("token=abcdefgh1", many)]
+    assert got[2]["n_assign"] == 2_000 and got[2]["spans"] == ",".join(f"assign:{s}:{e}" for s, e in at)

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def test_near_against_all_pairs(spark):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block in (96, 16):
+    for block in (near.BLOCK, 2000, 40):
         rows = {r.doc_id: r for r in near.join(docs, block=block).collect()}
         assert {i: rows[i].n_links for i in rows} == {i: links[i] for i in range(len(texts))}
         assert all(rows[i].class_id == root(i) for i in rows)
@@ -71,6 +72,32 @@ def test_prefix_is_shortened_until_the_recall_is_reached():
     assert 1 - (1 - 0.8**d) ** 20 >= 0.997 > 1 - (1 - 0.8 ** (d + 1)) ** 20
 
 
+def test_recall_is_measured_on_the_links_found():
+    near_copies, at_threshold = np.zeros(near.BINS), np.zeros(near.BINS)
+    near_copies[-1], at_threshold[0] = 1000, 1000
+    assert near.measured_recall(near_copies, near.DEPTH, near.DEPTH) > 0.997 > near.measured_recall(at_threshold, near.DEPTH, near.DEPTH)
+    assert near.measured_recall(at_threshold, near.DEPTH, near.prefix_length()) >= 0.997
+    assert near.measured_recall(np.zeros(near.BINS), near.DEPTH, near.DEPTH) < 0.997  # no link is no proof
+
+
+def test_tries_against_sets_of_prefixes(spark):
+    rng, half, bits = random.Random(5), near.DEPTH // 2, near.VALUE_BITS
+    values = {i: [[rng.randint(0, 1) for _ in range(near.DEPTH)] for _ in range(3)] for i in range(200)}
+    packed = lambda v: [sum(x << bits * (half - 1 - k) for k, x in enumerate(part)) for part in (v[:half], v[half:])]
+    rows = [(i, [n for tree in v for n in packed(tree)]) for i, v in values.items()] + [(900, [])]
+    nodes = spark.createDataFrame(rows, "node long, signatures array<long>")
+    scratch = near.Scratch(spark, "t")
+    edges = scratch.keep(near.tries(nodes, 6, scratch))
+    for depth in (10, 8, 6):
+        want = {}
+        for i, v in values.items():
+            for t, tree in enumerate(v):
+                want.setdefault((t, tuple(tree[:depth])), []).append(i)
+        pairs = [(m[0], k) for m in want.values() for k in m[1:]]
+        told = lambda e: {r.node: r.root for r in near.components(e, scratch).collect()}
+        assert told(edges.where(F.col("depth") >= depth)) == told(spark.createDataFrame(pairs, "a long, b long"))
+
+
 def test_components(spark, tmp_path):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(300)] + [(1000 + rng.randint(0, 50), 1000) for _ in range(100)] + [(5000, 5001), (-4, 5001)]

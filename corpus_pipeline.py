@@ -2,6 +2,11 @@
 
 Every stage reads what its predecessor kept. All but the last return the
 columns of ``documents``.
+
+Defined results: null texts count as empty ones, which no stage drops except as
+copies of each other; rows of equal or null id are kept or dropped one by one;
+an empty table gives an empty result; further columns pass through unread,
+whatever their names are, up to the last stage.
 """
 
 from __future__ import annotations
@@ -57,9 +62,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each one's rows written and read again as the next one's input."""
     scratch = near.Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.keep(docs)
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with near.temporary():  # a stage's own tables go once its rows are written
+            docs = scratch.keep(stage(spark, docs, sf_dir))
+        if last is not None:
+            scratch.drop(last)
+        last = docs
+    docs = STAGES[-1][1](spark, docs, sf_dir)
     return docs.select("doc_id", "n_tokens", "ids", F.col("ids_sha256"), F.col("decoded_sha256"))

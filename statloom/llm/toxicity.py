@@ -10,8 +10,9 @@ Both dictionaries share an ordinary part, and a part made of the ordinary
 windows that the toxic one compresses best, so that chance matches cancel out.
 
 Training uses a bounded sample of the labelled rows: at most ``MAX_TOXIC`` and
-``MAX_ORDINARY`` rows, in the order of a hash of their ids, up to
-``MAX_SAMPLE_BYTES`` of text each. Scores use whole texts and nothing but the
+``MAX_ORDINARY`` different rows, in the order of a hash of their ids, up to
+``MAX_SAMPLE_BYTES`` of text each, and of their words at most ``BASE_WORDS`` for
+the shared part. Scores use whole texts and nothing but the
 text.
 
 Defined results: null and empty texts have no windows and get the score of a
@@ -41,6 +42,8 @@ WINDOW = 40
 LEVEL = 7
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 CUT = 0.7
+#: Words of ordinary sample texts, in random order, that train the part both dictionaries share.
+BASE_WORDS = 150_000
 #: Part of the sample that trains the dictionaries; the rest calibrates the scores.
 DICTIONARY_SHARE = 0.6
 GRAMS = (4, 5, 6)
@@ -123,7 +126,7 @@ def _gram_counts(texts: list[str]) -> Counter:
         words.update(set(t.split()))
     out: Counter = Counter()
     for w, c in words.items():
-        s = f" {w[:64]} "
+        s = f" {w} "
         for g in {s[i : i + n] for n in GRAMS for i in range(len(s) - n + 1)}:
             out[g] += c
     return out
@@ -152,13 +155,13 @@ def fit(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int) ->
     telling = _telling(*train)
 
     def tells(word: str) -> bool:
-        s = f" {word[:64]} "
+        s = f" {word} "
         return any(s[i : i + n] in telling for n in GRAMS for i in range(len(s) - n + 1))
 
     ours = [f" {w} ".encode("utf-8", "replace") for t in train[0] for w in sorted(set(t.split())) if tells(w)]
     rest = [f" {w} ".encode("utf-8", "replace") for t in train[1] for w in sorted(set(t.split()))]
     random.Random(7).shuffle(rest)
-    base = _trained(rest[:150_000], 8192, 6000, 32)
+    base = _trained(rest[:BASE_WORDS], 8192, 6000, 32)
     signs = _trained(ours, 2048, 1500, 24) if ours else b" "
     cuts = [w for t in train[1] for w in windows(t)]
     for _ in range(3):  # ordinary windows that look toxic go into both
@@ -206,16 +209,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
         # a stated number of ids; documents are then matched against them without a shuffle of texts
         ids = usable.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id")
-        rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id", "left_semi")
-        rows = rows.orderBy(F.xxhash64("_id"), "_id", "_text").limit(most)
-        got, size = [], 0
-        for r in rows.toLocalIterator():
-            t = r["_text"] or ""
-            size += len(t)
-            if got and size > MAX_SAMPLE_BYTES:
+        rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+        rows = rows.join(F.broadcast(ids), "_id", "left_semi").withColumn("_key", F.xxhash64("_text"))
+        sizes = rows.groupBy("_id", "_key").agg(F.max(F.octet_length("_text")).alias("_n")).orderBy(F.xxhash64("_id"), "_id", "_key").limit(most).collect()
+        chosen, size = {}, 0
+        for r in sizes:
+            size += r["_n"]
+            if chosen and size > MAX_SAMPLE_BYTES:
                 break
-            got.append(t)
-        texts[y] = got
+            chosen[r["_id"], r["_key"]] = len(chosen)
+        # no more than MAX_SAMPLE_BYTES of text leave the tasks, a repeated row once
+        picks = docs.sparkSession.createDataFrame(list(chosen), rows.select("_id", "_key").schema)
+        got = rows.join(F.broadcast(picks), ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.first("_text").alias("_text"))
+        found = sorted((chosen[r["_id"], r["_key"]], r["_text"]) for r in got.toLocalIterator())
+        texts[y] = [t for _, t in found]
     return fit(texts[1], texts[0], totals.get(1, 0), totals.get(0, 0))
 
 

@@ -18,12 +18,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 WORDS = 8
 BITS_PER_KEY = 16
-#: The filter is broadcast up to this many blocks (about 100 bytes each), else it is joined by shuffle.
-BROADCAST_BLOCKS = 1 << 17
-#: The list is broadcast up to this many URLs, else it is joined by shuffle.
-BROADCAST_URLS = 20_000
+#: Tables of up to this many bytes, as counted, are sent to all tasks; larger ones are joined by shuffle, with the same result.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of a block of the filter as a row.
+BLOCK_BYTES = 100
+#: Keys that rows without a possible hit take in a shuffled join, so that they don't meet.
+SPREAD = 4096
 
 #: Rules as (host, path, verdict).
 RULES = (
@@ -86,22 +90,24 @@ def listed(rows: DataFrame, column: str, urls: DataFrame, out: str = "listed") -
 
     Null and empty values are never listed.
     """
-    urls = urls.select(F.col(urls.columns[0]).alias("_listed")).where("_listed is not null and _listed <> ''").distinct()
-    n = urls.count()
+    out_, block_, hit_, listed_ = fresh(rows, out, "_block", "_hit", "_listed")
+    urls = urls.select(F.col(urls.columns[0]).alias(listed_)).where(F.col(listed_) != "").distinct()
+    n, size = urls.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(listed_)), F.lit(0))).first()
     if n == 0:
-        return rows.withColumn(out, F.lit(False))
-    blocks, n_blocks = bloom_filter(urls, "_listed", n)
+        return rows.withColumn(out_, F.lit(False))
+    small = lambda df, width: F.broadcast(df) if width <= BROADCAST_BYTES else df
+    blocks, n_blocks = bloom_filter(urls, listed_, n)
     key = F.coalesce(F.col(column), F.lit(""))
-    probed = rows.withColumn("_block", _block(key, n_blocks))
-    blocks = blocks.withColumnsRenamed({"block": "_block", **{f"w{w}": f"_w{w}" for w in range(WORDS)}})
-    probed = probed.join(F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks, "_block", "left")
-    hit = reduce(lambda a, b: a & b, (F.col(f"_w{w}").bitwiseAND(_mask(key, w)) != 0 for w in range(WORDS)))
-    probed = probed.withColumn("_hit", F.coalesce(hit, F.lit(False)) & (key != ""))
-    keep = [*rows.columns]
-    no = probed.where(~F.col("_hit")).select(*keep, F.lit(False).alias(out))
-    maybe = probed.where("_hit").select(*keep)
-    exact = maybe.join(F.broadcast(urls) if n <= BROADCAST_URLS else urls, F.col(column) == F.col("_listed"), "left")
-    return no.unionByName(exact.select(*keep, F.col("_listed").isNotNull().alias(out)))
+    blocks = blocks.select(F.col("block").alias(block_), F.array(*(f"w{w}" for w in range(WORDS))).alias(hit_))
+    # an empty key probes a block of its own choice, so that many of them don't meet
+    at = F.when(key != "", _block(key, n_blocks)).otherwise(-1 - F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+    probed = rows.withColumn(block_, at).join(small(blocks, n_blocks * BLOCK_BYTES), block_, "left")
+    hit = reduce(lambda a, b: a & b, (F.col(hit_)[w].bitwiseAND(_mask(key, w)) != 0 for w in range(WORDS)))
+    # only possible hits can find their URL; the others' keys equal none
+    probe = F.when(F.coalesce(hit, F.lit(False)), key).otherwise(F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))))
+    probed = probed.withColumn(hit_, probe)
+    found = probed.join(small(urls, size + 16 * n), F.col(hit_) == F.col(listed_), "left")
+    return found.select(*rows.columns, F.col(listed_).isNotNull().alias(out_))
 
 
 def judge(pages: DataFrame, urls: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -5,9 +5,11 @@ slot, and a versioned slot-to-shard map is edited when shards are rebalanced.
 Only slot totals (``n_slots`` rows, a parameter) ever reach the driver.
 
 Defined results: a null text has size 16 and the checksum of the empty text; a
-null id hashes like any other value; repeated rows share a slot and get
-different places; an empty table gives an empty result; columns of the input
-other than the id and the text are ignored, whatever their names are.
+null id hashes like any other value; repeated rows share a virtual slot, which
+shards can't split, and get different places; an empty table gives an empty
+result; columns of the input other than the id and the text are ignored,
+whatever their names are. Fewer shards than before empty the last ones; a saved
+map keeps its own number of slots.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OVERHEAD_BYTES = 16
+#: Parts of a virtual slot that are numbered separately, so that repeated rows don't meet in one task.
+PARTS = 64
 
 
 @dataclass
@@ -46,19 +50,25 @@ class SlotMap:
     def rebalance(self, slot_bytes: list[int], n_shards: int | None = None) -> SlotMap:
         """The next version, with shards as near in bytes as whole slots allow.
 
-        Overfull shards give up slots, largest first, as long as they stay at
-        or above the mean; those go to the lightest shard; then single moves
-        and swaps between the heaviest and the lightest shard close the rest.
+        Shards that are no more give up all slots, overfull ones their largest
+        as long as they stay at or above the mean; those go to the lightest
+        shard; then single moves and swaps between the heaviest and the
+        lightest shard close the rest.
         """
+        if len(slot_bytes) != len(self.shards):
+            raise ValueError(f"the map has {len(self.shards)} slots, not {len(slot_bytes)}")
         n = n_shards or self.n_shards
         shards = list(self.shards)
         held: list[set[int]] = [set() for _ in range(n)]
         load = [0] * n
+        loose = []
         for slot, shard in enumerate(shards):
-            held[shard].add(slot)
-            load[shard] += slot_bytes[slot]
+            if shard >= n:
+                loose.append(slot)
+            else:
+                held[shard].add(slot)
+                load[shard] += slot_bytes[slot]
         mean = sum(slot_bytes) / n
-        loose = []
         for shard in range(n):
             for slot in sorted(held[shard], key=lambda s: (-slot_bytes[s], s)):
                 if slot_bytes[slot] and load[shard] - slot_bytes[slot] >= mean:
@@ -138,25 +148,40 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = 4096, slot_map: Sl
     Returns the records (doc_id, size, text_crc32, virtual_slot, shard, slot,
     map_version), ``slot`` being the record's place in its shard from 0, and
     the new version of the map. A place is the number of rows in the shard's
-    earlier virtual slots plus the rank within the own one, so no task ever
-    holds more than one virtual slot's rows together.
+    earlier virtual slots and in the slot's earlier parts, plus the rank within
+    the own part. Texts are read once; what follows works on a written table of
+    their sizes and checksums.
     """
+    from .near import Scratch
+
     spark = docs.sparkSession
-    rows = slotted(docs, n_slots, id_col, text_col)
+    old = slot_map or SlotMap.initial(n_slots, n_shards)
+    n_slots = len(old.shards)
+    rows = Scratch(spark, "slotted").keep(slotted(docs, n_slots, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int"))
     size, count = slot_totals(rows, n_slots)
-    new = (slot_map or SlotMap.initial(n_slots, n_shards)).rebalance(size, n_shards)
+    new = old.rebalance(size, n_shards)
     start, offset = [0] * n_slots, [0] * n_shards
     for s, k in enumerate(new.shards):
         start[s] = offset[k]
         offset[k] += count[s]
     places = spark.createDataFrame([(s, k, start[s]) for s, k in enumerate(new.shards)], "virtual_slot int, shard int, start long")
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    out = rows.withColumn("rank", rank).join(F.broadcast(places), "virtual_slot")  # n_slots rows
-    return out.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(new.version).alias("map_version")), new
+    before = F.sum("n").over(Window.partitionBy("virtual_slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("n")).select("virtual_slot", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    parts = parts.join(F.broadcast(places), "virtual_slot")  # n_slots rows
+    rank = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "row"))
+    out = rows.withColumn("rank", rank).join(F.broadcast(parts), ["virtual_slot", "part"])  # n_slots * PARTS rows
+    slot = (F.col("start") + F.col("before") + F.col("rank") - 1).cast("long")
+    return out.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", slot.alias("slot"), F.lit(new.version).alias("map_version")), new
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` by a stored map: version 0 deals slots in turn, version 1 is its rebalanced edit."""
     from .common import table
+    from .near import Scratch
 
-    rows, _ = shard(table(spark, sf_dir, "documents"), 40, 4096)
+    path = f"{Scratch(spark, 'slots').path}/map"
+    SlotMap.initial(4096, 40).save(spark, path)
+    rows, new = shard(table(spark, sf_dir, "documents"), 40, slot_map=SlotMap.load(spark, path))
+    new.save(spark, path)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")

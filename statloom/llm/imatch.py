@@ -6,10 +6,11 @@ text, and a short hash for each of several random subsets of the lexicon, from
 dense to sparse; the likeness of two fingerprints is the share of equal subset
 hashes among the subsets that hold a term of either text.
 
-Document counts cover all documents. The lexicon has at most
-``MAX_LEXICON`` terms whatever the corpus: no more than (mean distinct terms of
-a document) / ``low`` terms can be in a share ``low`` of the documents, and
-``low`` is raised where that bound would exceed the limit.
+Document counts cover all documents. The lexicon doesn't grow with the corpus:
+no more than (mean distinct terms of a document) / ``low`` terms can be in a
+share ``low`` of the documents. A corpus of such long texts that this exceeds
+``MAX_LEXICON``, the most that is sent to executors, is refused: ``low`` is to
+be set higher for it.
 
 Defined results: a text without lexicon terms is fingerprinted by all its
 terms, one without words (null counts as empty) by itself, and both are like
@@ -37,6 +38,8 @@ SUBSETS = ((1, 2), (2, 2), (3, 4), (4, 6), (5, 8), (6, 8), (7, 8), (8, 8), (9, 8
 #: Distinct terms that a task counts before it passes the counts on.
 HELD_TERMS = 300_000
 EMPTY = "----"
+#: Rows per range of the sample that balances the ranges, and the characters of a text that tell rows of one id apart there.
+SAMPLED, HEAD_CHARS = 40, 64
 
 _KEPT = set(b"0123456789abcdefghijklmnopqrstuvwxyz")
 _TABLE = bytes(c if c >= 0x80 or c in _KEPT else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -87,11 +90,12 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     counts = document_counts(docs, text_col)
     floor = max(1, int(np.ceil(low * n_docs)))
     kept = scratch.keep(counts.where((F.col("n") >= floor) & (F.col("n") <= max(high * n_docs, 1))))
-    if kept.count() > most:  # raise the lower edge: terms in more than `edge` documents are `most` at most
-        by_n = kept.groupBy("n").agg(F.count("*").alias("terms"))
-        edge = by_n.select("n", F.sum("terms").over(Window.orderBy(F.desc("n"))).alias("above")).where(F.col("above") > most).agg(F.max("n")).first()[0]
-        kept = kept.where(F.col("n") > edge)
-    return np.sort(np.array(kept.select("term").toArrow().column("term").to_numpy()))
+    n_terms = kept.count()
+    if n_terms > most:
+        raise ValueError(f"{n_terms} terms are in the band, {most} can be sent to executors: raise low")
+    out = np.sort(np.array(kept.select("term").toArrow().column("term").to_numpy()))
+    scratch.clear()
+    return out
 
 
 _SEEDS = np.random.default_rng(29).integers(1, 1 << 63, sum(k for _, k in SUBSETS), dtype=np.uint64) | np.uint64(1)
@@ -169,21 +173,35 @@ def fingerprint(docs: DataFrame, band: np.ndarray | None = None, id_col: str = "
     return map_rows(docs.select(F.col(id_col), F.col(text_col)), make, f"doc_id {kind}, fingerprint string")
 
 
-def _parts(ids: DataFrame, parts: int) -> tuple[Column, int]:
-    """Place of an id among ``parts`` ranges in descending order; null ids come last. Two levels keep the search short."""
-    wanted = [k / parts for k in range(1, parts)]
-    cuts = ids.agg(F.percentile_approx("doc_id", wanted, 100 * parts).alias("q")).first()["q"] if wanted else []
-    cuts = sorted(set(cuts or []), reverse=True)
+def _cuts(rows: DataFrame, parts: int) -> list[tuple]:
+    """Where ``parts`` ranges of the order begin, as (id, head of the text). They only balance tasks: a sample of bounded size, by hash."""
+    head = F.substring(F.coalesce("text", F.lit("")), 1, HEAD_CHARS)
+    sample = rows.select("doc_id", head.alias("head")).orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLED * parts).collect()
+    known = sorted(((r["doc_id"], r["head"]) for r in sample if r["doc_id"] is not None), key=lambda x: x[1])
+    known.sort(key=lambda x: x[0], reverse=True)
+    known += sorted((None, r["head"]) for r in sample if r["doc_id"] is None)
+    return list(dict.fromkeys(known[k * len(known) // parts] for k in range(1, parts))) if known else []
+
+
+def _place(cuts: list[tuple], kind: str) -> Column:
+    """Number of the range of a row: of the cuts at or before it. Two levels keep the search short."""
     if not cuts:
-        return F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0)), 2
+        return F.lit(0)
+    head = F.substring(F.coalesce("text", F.lit("")), 1, HEAD_CHARS)
+    doc_id = F.col("doc_id")
+
+    def past(cut: Column) -> Column:
+        own = doc_id.eqNullSafe(cut["id"]) & (head >= cut["head"])
+        return F.when(cut["id"].isNull(), own).otherwise(own | doc_id.isNull() | F.coalesce(doc_id < cut["id"], F.lit(False)))
+
+    cut = lambda c: F.struct(F.lit(c[0]).cast(kind).alias("id"), F.lit(c[1]).alias("head"))
     step = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    coarse = F.array(*(F.lit(g[-1]).cast("long") for g in groups[:-1])) if len(groups) > 1 else F.expr("cast(array() as array<bigint>)")
-    fine = F.array(*(F.array(*(F.lit(v).cast("long") for v in g)) for g in groups))
-    doc_id = F.col("doc_id").cast("long")
-    at = F.size(F.filter(coarse, lambda c: doc_id <= c))
-    place = at * step + F.size(F.filter(F.element_at(fine, at + 1), lambda c: doc_id <= c))
-    return F.when(doc_id.isNull(), F.lit(len(cuts) + 1)).otherwise(place).cast("int"), len(cuts) + 2
+    coarse = F.array(*(cut(g[-1]) for g in groups))
+    fine = F.array(*(F.array(*(cut(c) for c in g)) for g in groups), F.array(cut(cuts[-1])))
+    whole = F.size(F.filter(coarse, past))
+    inside = F.size(F.filter(F.element_at(fine, whole + 1), past))
+    return F.when(whole == len(groups), F.lit(len(cuts))).otherwise(whole * step + inside).cast("int")
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,20 +213,21 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = max(2, min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    place, _ = _parts(rows.select("doc_id"), parts)
+    parts = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = docs.schema[id_col].dataType.simpleString()
+    place = _place(_cuts(rows, parts), kind)
     heads = sorted((r["part"], r["head"]) for r in rows.select("doc_id", place.alias("part")).groupBy("part").agg(F.max("doc_id").alias("head")).collect())  # a row per part
     rows = rows.withColumn("part", place)
     if heads:
         before = [(head, part, heads[i - 1][0]) for i, (part, head) in enumerate(heads)]
-        look = spark.createDataFrame(before, "head long, head_part int, before int")
+        look = spark.createDataFrame(before, f"head {kind}, head_part int, before int")
         known = rows.join(F.broadcast(look), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("part") == F.col("head_part")), "left")  # a row per part
         own = F.struct(F.col("part").alias("part"), F.lit(0).alias("ahead"))
         rows = known.withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("part"), F.lit(1).alias("ahead"))))))
         rows = rows.select("at.part", "at.ahead", "doc_id", "text")
     else:
         rows = rows.select("part", F.lit(0).alias("ahead"), "doc_id", "text")
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), "text")
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), "text")
 
 
 def compare_next(docs: DataFrame, band: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators held against brute force, the public library or exact round trips."""
 
+import datetime
 import hashlib
 import math
 import random
@@ -256,7 +257,8 @@ def test_lexicon_counts_documents_and_keeps_its_bound(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     h = lambda *w: sorted(imatch._signed(imatch.term_hash(x.encode())) for x in w)
     assert imatch.lexicon(df, low=0.3, high=0.6).tolist() == h("a", "b", "c", "d")
-    assert imatch.lexicon(df, low=0.3, high=0.6, most=3).tolist() == h("a", "b")
+    with pytest.raises(ValueError, match="raise low"):  # more terms than can be sent: refused, not cut
+        imatch.lexicon(df, low=0.3, high=0.6, most=3)
 
 
 def test_shards_are_even_and_the_map_keeps_versions(spark, tmp_path):
@@ -283,8 +285,7 @@ def test_shards_are_even_and_the_map_keeps_versions(spark, tmp_path):
 @pytest.mark.parametrize("limit", [None, 0])
 def test_bloom_filter_loses_nothing(spark, monkeypatch, limit):
     if limit is not None:  # the way by shuffle
-        monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", limit)
-        monkeypatch.setattr(url_filter, "BROADCAST_URLS", limit)
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
     urls = spark.range(2000).select(F.concat(F.lit("site/"), "id").alias("u"))
     rows = spark.range(6000).select("id", F.concat(F.lit("site/"), "id").alias("u"))
     assert {r.id for r in url_filter.listed(rows, "u", urls).where("listed").collect()} == set(range(2000))
@@ -318,3 +319,94 @@ def test_toxicity_tells_held_out_texts(spark):
     good = [r for r in held if (r.score >= toxicity.CUT) == (r.doc_id % 3 == 0)]
     assert len(good) >= 0.95 * len(held)
     assert model.score("") < toxicity.CUT and model.score(None) == model.score("")
+
+
+def test_shards_are_taken_away_and_maps_keep_their_slots(spark):
+    rng = random.Random(10)
+    rows = [(i, "x" * rng.choice([10, 100, 1000])) for i in range(3000)] + [(7, "same")] * 200 + [(None, None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, first = sharding.shard(df, 8, 512)
+    out, less = sharding.shard(df, 5, slot_map=first)
+    assert len(less.shards) == 512 and less.version == first.version + 1 and {*less.shards} == set(range(5))
+    place = {}
+    for r in out.collect():
+        place.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in place.values()) and sum(map(len, place.values())) == len(rows)
+    with pytest.raises(ValueError, match="512 slots"):
+        less.rebalance([1, 2, 3])
+
+
+def test_op8_recomputed(spark, tmp_path):
+    import zlib
+
+    rng = random.Random(11)
+    rows = [(i, rng.choice([None, "", "é" * i, some_text(rng, i)])) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in sharding.op8(spark, str(tmp_path)).collect()}
+    places = {}
+    for i, text in rows:
+        raw = (text or "").encode()
+        r = got[i]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard, r.map_version) == (len(raw) + 16, zlib.crc32(raw), "bytes", None, 1)
+        assert 0 <= r.shard < 40 and 0 <= r.virtual_slot < 4096
+        places.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+
+
+def test_next_documents_by_any_kind_of_id(spark):
+    rng = random.Random(12)
+    words = [some_text(rng, rng.randint(0, 30)) for _ in range(150)]
+    for kind, make in (("string", lambda i: f"id{i * 7919 % 1000:04d}"), ("date", lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i)), ("int", lambda i: i % 9)):
+        rows = [(make(i), w) for i, w in enumerate(words)] + [(None, w) for w in words[:40]]
+        order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[1])
+        order.sort(key=lambda r: r[0], reverse=True)
+        order += sorted((r for r in rows if r[0] is None), key=lambda r: r[1])
+        want = Counter()
+        for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+            k = len(t) // 3
+            want[i, hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()] += 1
+        got = imatch.compare_next(spark.createDataFrame(rows, f"doc_id {kind}, text string"))
+        assert Counter((r.doc_id, r.edited_sha256) for r in got.collect()) == want
+
+
+def test_fingerprints_against_their_definition(spark):
+    rng = random.Random(13)
+    texts = [some_text(rng, rng.randint(0, 60)) for _ in range(60)] + ["", None, "!!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    share = Counter(w for t in texts for w in {*re.findall(r"[a-z0-9]+", (t or "").lower())})
+    band = {w for w, n in share.items() if max(1, math.ceil(0.05 * len(texts))) <= n <= 0.3 * len(texts)}
+    import xxhash
+
+    for r in imatch.fingerprint(df, imatch.lexicon(df, low=0.05, high=0.3)).collect():
+        words = {*re.findall(r"[a-z0-9]+", (texts[r.doc_id] or "").lower())} & band
+        if not words:
+            assert r.fingerprint.endswith(imatch.EMPTY * len(imatch._SEEDS))
+            continue
+        hashes = sorted(xxhash.xxh64_intdigest(w.encode(), 5) for w in words)
+        short = lambda v, n: hashlib.blake2b(b"".join(h.to_bytes(8, "little") for h in v), digest_size=n).hexdigest()
+        parts = []
+        for seed, mask in zip(imatch._SEEDS.tolist(), imatch._MASKS.tolist(), strict=True):
+            inside = [h for h in hashes if (((h * seed) % (1 << 64)) >> 40) & mask == 0]
+            parts.append(short(inside, 2) if inside else imatch.EMPTY)
+        assert r.fingerprint == short(hashes, 8) + ":" + "".join(parts)
+
+
+def test_toxicity_windows_and_lengths_against_plain_zstandard():
+    import zstandard
+
+    rng = random.Random(14)
+    toxic = [f"{some_text(rng, 20)} vile{rng.randint(0, 3)} rotten {some_text(rng, 9)}" for _ in range(60)]
+    ordinary = [some_text(rng, 30) for _ in range(120)]
+    model = toxicity.fit(toxic, ordinary, 60, 120)
+    plain = lambda d, w: len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(w))
+    for text in [*toxic[:5], *ordinary[:5], "x" * 500, " ", "é" * 100]:
+        cuts = toxicity.windows(text)
+        raw = " " + text.lower() + " "
+        assert b"".join(w[: -1 if i + 1 < len(cuts) else None] for i, w in enumerate(cuts)) == raw.encode()  # neighbours share the space between them
+        diffs = [plain(model.ordinary, w) - plain(model.toxic, w) for w in cuts]
+        z = [1.0, math.log1p(len(cuts)), max(max(diffs), 0) / 4, min(max(max(diffs), 0), 3) / 3]
+        for t in toxicity.THRESHOLDS:
+            c = sum(d >= t for d in diffs)
+            z += [math.log1p(c), min(1.0, 10 * c / len(cuts))]
+        assert model.features(text) == pytest.approx(z)
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(z, model.weights, strict=True)))))))

@@ -41,6 +41,31 @@ SENTENCES = (
     ("gpl_terms", "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or at your option any later version"),
     ("gpl_terms", "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 2 of the license, or at your option any later version"),
     ("gpl_hope", "this program is distributed in the hope that it will be useful, but without any warranty"),
+    ("gpl_hope", "this program is distributed in the hope that it will be useful, but without any warranty, without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl_details", "see the gnu general public license for more details"),
+    ("gpl_received", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl_free", "this library is free software"),
+    ("lgpl_terms", "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl_terms", "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 2.1 of the license, or at your option any later version"),
+    ("lgpl_terms", "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or at your option any later version"),
+    ("agpl_terms", "you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or at your option any later version"),
+    ("mpl2_by", "this source code form is subject to the terms of the mozilla public license, v. 2.0"),
+    ("mpl2_copy", "if a copy of the mpl was not distributed with this file, you can obtain one at https://mozilla.org/mpl/2.0/"),
+    ("epl2_by", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("isc_grant", "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc_asis", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("unlicense_by", "this is free and unencumbered software released into the public domain"),
+    ("boost_by", "distributed under the boost software license, version 1.0"),
+    ("zlib_asis", "this software is provided as-is, without any express or implied warranty"),
+    ("zlib_grant", "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("spdx_apache2", "spdx-license-identifier: apache-2.0"),
+    ("spdx_mit", "spdx-license-identifier: mit"),
+    ("spdx_bsd3", "spdx-license-identifier: bsd-3-clause"),
+    ("spdx_bsd2", "spdx-license-identifier: bsd-2-clause"),
+    ("spdx_gpl2", "spdx-license-identifier: gpl-2.0-only"),
+    ("spdx_gpl3", "spdx-license-identifier: gpl-3.0-only"),
+    ("spdx_gpl3plus", "spdx-license-identifier: gpl-3.0-or-later"),
+    ("spdx_mpl2", "spdx-license-identifier: mpl-2.0"),
     ("bsd_grant", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd_source", "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("bsd_binary", "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
@@ -62,7 +87,27 @@ RULES = (
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_name")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("GPL-3.0-only", ("gpl3_by",)),
+    ("GPL-any", ("gpl_free", "gpl_terms", "gpl_hope", "gpl_details", "gpl_received")),
     ("GPL-any", ("gpl_free", "gpl_terms", "gpl_hope")),
+    ("GPL-any", ("gpl_free", "gpl_terms")),
+    ("LGPL-any", ("lgpl_free", "lgpl_terms")),
+    ("LGPL-any", ("gpl_free", "lgpl_terms")),
+    ("AGPL-3.0-or-later", ("gpl_free", "agpl_terms")),
+    ("MPL-2.0", ("mpl2_by", "mpl2_copy")),
+    ("MPL-2.0", ("mpl2_by",)),
+    ("EPL-2.0", ("epl2_by",)),
+    ("ISC", ("isc_grant", "isc_asis")),
+    ("Unlicense", ("unlicense_by",)),
+    ("BSL-1.0", ("boost_by",)),
+    ("Zlib", ("zlib_asis", "zlib_grant")),
+    ("Apache-2.0", ("spdx_apache2",)),
+    ("MIT", ("spdx_mit",)),
+    ("BSD-3-Clause", ("spdx_bsd3",)),
+    ("BSD-2-Clause", ("spdx_bsd2",)),
+    ("GPL-2.0-only", ("spdx_gpl2",)),
+    ("GPL-3.0-only", ("spdx_gpl3",)),
+    ("GPL-3.0-or-later", ("spdx_gpl3plus",)),
+    ("MPL-2.0", ("spdx_mpl2",)),
     ("CC-BY-NC-4.0", ("ccbync4_by",)),
     ("CC-BY-4.0", ("ccby4_by",)),
     ("CC-BY-SA-4.0", ("ccbysa4_by",)),
@@ -70,7 +115,7 @@ RULES = (
     ("proprietary", ("reserved",)),
 )
 #: Only texts with one of these words are looked at.
-HINT = r"(?i)licen[sc]e|permi|redistribut|warrant|copyright|free\W+software|rights\W+reserved|neighboring"
+HINT = r"(?i)licen[sc]e|unencumbered|permi|redistribut|warrant|copyright|free\W+software|rights\W+reserved|neighboring"
 #: Comment marks at a line's head, and those that close a comment or a box at its end.
 HEAD = r"(?m)^[^\S\n]*+(?:(?:/\*++|\*++/?|//++|#++|;++|--++|%++|>++|<!--|\|++|dnl\b|@?rem\b)[^\S\n]*+)++"
 TAIL = r"(?m)[^\S\n]*+(?:\*++/|-->|\*++|#++|\|++)[^\S\n]*+$"
@@ -81,7 +126,7 @@ def normalise(text: Column) -> Column:
     s = F.regexp_replace(F.lower(text), r"\R", "\n")
     s = F.regexp_replace(F.regexp_replace(s, HEAD, ""), TAIL, "")
     s = F.regexp_replace(s, r"""["'()*#/“”‘’`]{2,}|["'()*#“”‘’`]""", "")
-    s = F.regexp_replace(s, r"[.!?;:]++(?=\s|$)", "\n\n")
+    s = F.regexp_replace(s, r"(?<!spdx-license-identifier)(?<!\sv)[.!?;:]++(?=\s|$)", "\n\n")
     return F.regexp_replace(F.regexp_replace(s, r"[^\S\n]++", " "), r" ?\n ?", "\n")
 
 

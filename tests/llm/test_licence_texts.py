@@ -72,3 +72,19 @@ def test_a_part_of_a_sentence_is_not_one(spark):
     rows = [(1, "it was not licensed under cc by 4.0 before"), (2, "A title without an end\nReleased under the MIT License\nmore text"), (3, "all rights\n\nreserved"), (4, "All rights\n# reserved."), (5, "# Licensed\n" * 20_000)]
     got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: [], 2: ["MIT"], 3: [], 4: ["proprietary"], 5: []}
+
+
+MORE = {
+    "LGPL-any": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS.",
+}
+
+
+def test_more_licences_and_tags(spark):
+    rows = [(i, "\n".join(f"{mark}{line}" for line in t.split("\n")), name) for i, (mark, name, t) in enumerate((m, n, t) for m in ("", "# ", " * ") for n, t in MORE.items())]
+    rows += [(100, "// SPDX-License-Identifier: Apache-2.0\n\ncode", "Apache-2.0"), (101, "/* SPDX-License-Identifier: MIT */\ncode", "MIT"), (102, "# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    assert {i: got[i] for i, _, _ in rows} == {i: [n] for i, _, n in rows}

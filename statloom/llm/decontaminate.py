@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, sha256_hex, table
+from .common import fresh, map_rows, sha256_hex, table
 
 WINDOW = 13
 #: Benchmark text that one automaton may hold; larger benchmarks take several passes.
@@ -205,7 +205,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     names = docs.columns
     pieces = _pieces(benchmark, "item_id", "text", chunk_bytes)
     rows, current = docs, next(pieces, [])
-    carried = "_hit_ranges"
+    (carried,) = fresh(docs, "_hit_ranges")
     wide = StructType([*schema.fields, StructField(carried, ArrayType(StructType([StructField("first", IntegerType()), StructField("end", IntegerType())])))])
     wide_arrow = to_arrow_schema(wide)
     again = False

@@ -14,6 +14,8 @@ columns are ignored whatever their names are.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -166,14 +168,28 @@ def find(text: str | None, min_score: float = MIN_SCORE) -> list[tuple[str, int,
         return []
     base = base_spans(text)
     out = [(*x, score(text, *x)) for x in base]
+    taken, taken_but_cards = _Cover(base), _Cover([x for x in base if x[0] != "card"])
     for x in proposed(text):
         s = score(text, *x)
         device = x[0] == "imei" and not near_words(text, x[1], x[2]) & set(RAISE["card"])
-        if s >= min_score and not any(a < x[2] and x[1] < b and not (device and k == "card") for k, a, b in base):
+        if s >= min_score and not (taken_but_cards if device else taken).meets(x[1], x[2]):
             out.append((*x, s))
     return out
 
 
+class _Cover:
+    """Does any of some spans overlap a range? A binary search each."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.reach = list(itertools.accumulate((b for _, b in ordered), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end)
+        return k > 0 and self.reach[k - 1] > start
+
+
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id and found: array of (kind, start, end, score), in code points, end exclusive."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -193,13 +209,13 @@ def _is(kind: str):
 
 def _digested(found: str = "found") -> list:
     place = F.create_map(*(F.lit(v) for i, k in enumerate(KINDS) for v in (k, i)))
-    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("s"), place[x["kind"]].alias("k"), x["end"].alias("e"), x["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("s"), place[x["kind"]].alias("k"), x["end"].alias("e"), x["kind"].alias("kind"), x["score"].alias("score"))))
     said = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
     counts = [F.size(F.filter(found, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return [*counts, F.sha2(said(F.filter(ordered, lambda x: x["k"] < 4)), 256).alias("base_sha256"), said(ordered).alias("spans")]
+    return [*counts, F.sha2(said(F.filter(ordered, lambda x: x["k"] < 4)), 256).alias("base_sha256"), said(ordered).alias("spans"), F.array_join(F.transform(ordered, lambda x: x["score"].cast("string")), ",").alias("scores")]
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detect(table(spark, sf_dir, "documents"))
     top = F.array_max(F.transform("found", lambda x: x["score"]))
-    return rows.select("doc_id", *_digested(), top.alias("max_score"))
+    return rows.select("doc_id", *_digested(), top.alias("max_score"))  # scores: in the order of spans

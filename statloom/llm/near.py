@@ -49,8 +49,8 @@ TREES = 20
 #: Values of a tree's signature; each is ``VALUE_BITS`` bits, half of them in either of two numbers.
 DEPTH = 10
 VALUE_BITS = 12
-#: Shingles of the texts that a block holds on average.
-BLOCK = 200_000
+#: Shingles of the texts that a block holds on average, and what a text counts beside its own.
+BLOCK, TEXT_WEIGHT = 100_000, 128
 #: Bins of the similarities, from the threshold to 1.
 BINS = 50
 #: Word hashes that a worker remembers.
@@ -419,7 +419,7 @@ def _block_pairs(sized: DataFrame, rows: DataFrame, block: int, scratch: Scratch
     A group of more than a block's shingles has blocks of its own; smaller ones
     share blocks. Components of a single group were verified before.
     """
-    groups = scratch.keep(sized.groupBy("comp", "group").agg(F.sum("n").alias("size")))
+    groups = scratch.keep(sized.groupBy("comp", "group").agg(F.sum(F.col("n") + TEXT_WEIGHT).alias("size")))
     large, own = F.col("size") >= block, F.ceil(F.col("size") / block).cast("int")
     comps = groups.groupBy("comp").agg(F.count("*").alias("groups"), F.ceil(F.sum(F.when(large, 0).otherwise(F.col("size"))) / block).cast("int").alias("pool"), F.sum(F.when(large, own).otherwise(0)).cast("int").alias("rest"))
     comps = scratch.keep(comps.where("groups > 1").drop("groups"))

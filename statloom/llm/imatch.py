@@ -174,9 +174,10 @@ def fingerprint(docs: DataFrame, band: np.ndarray | None = None, id_col: str = "
 
 
 def _cuts(rows: DataFrame, parts: int) -> list[tuple]:
-    """Where ``parts`` ranges of the order begin, as (id, head of the text). They only balance tasks: a sample of bounded size, by hash."""
+    """Where ``parts`` ranges of the order begin, as (id, head of the text). They only balance tasks: a sample of about ``SAMPLED`` rows per range."""
     head = F.substring(F.coalesce("text", F.lit("")), 1, HEAD_CHARS)
-    sample = rows.select("doc_id", head.alias("head")).orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLED * parts).collect()
+    share = min(1.0, SAMPLED * parts / max(1, rows.count()))
+    sample = rows.select("doc_id", head.alias("head")).sample(share, seed=17).collect()
     known = sorted(((r["doc_id"], r["head"]) for r in sample if r["doc_id"] is not None), key=lambda x: x[1])
     known.sort(key=lambda x: x[0], reverse=True)
     known += sorted((None, r["head"]) for r in sample if r["doc_id"] is None)

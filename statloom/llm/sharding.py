@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 OVERHEAD_BYTES = 16
 #: Parts of a virtual slot that are numbered separately, so that repeated rows don't meet in one task.
-PARTS = 64
+PARTS = 16
 
 
 @dataclass

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import special
 from . import moments
 from .moments import ONE, Fit, demeaned, no_nulls, ols, products
-from .ordering import INDEX, indexed, running
+from .ordering import INDEX, indexed, ranged, running_all
+from .survival import labels
 
 
 def _standard(df: DataFrame, y: str, x: list[str]):
@@ -35,6 +36,8 @@ def elastic_net(df: DataFrame, y: str, x: list[str], penalties: list[float], mix
                 b[j] = np.sign(z) * max(abs(z) - scaled * mix, 0) / (1 + scaled * (1 - mix))
             if np.abs(b - old).max() < tolerance:
                 break
+        else:
+            raise RuntimeError(f"not converged after {rounds} rounds")
         coef = b * sd[0] / sd[1:]
         out += [(float(lam), ONE, float(mean[0] - coef @ mean[1:])), *((float(lam), v, float(c)) for v, c in zip(x, coef, strict=True))]
     return df.sparkSession.createDataFrame(out, "penalty double, term string, estimate double")
@@ -45,7 +48,7 @@ def hdfe(df: DataFrame, y: str, x: list[str], effects: list[str], rounds: int =
     no_nulls(df, [y, *x, *effects])
     rows = df.select(*dict.fromkeys([y, *x, *effects])).withColumns({c: F.col(c).cast("double") for c in [y, *x]})
     last = None
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    shared, held = df.sparkSession.conf.get("spark.checkpoint.dir", None), None
     for k in range(rounds):
         for e in effects:
             rows = demeaned(rows, [y, *x], e)
@@ -54,10 +57,15 @@ def hdfe(df: DataFrame, y: str, x: list[str], effects: list[str], rounds: int =
         else:
             rows = rows.persist()
         s = products(rows, [F.col(c) for c in [y, *x]])
+        if held is not None:
+            held.unpersist()
+        held = rows
         b = np.linalg.solve(s[1:, 1:], s[1:, 0])
         if last is not None and np.abs(b - last).max() <= tolerance * max(1.0, np.abs(b).max()) or len(effects) == 1:
             break
         last = b
+    else:
+        raise RuntimeError(f"not converged after {rounds} rounds")
     n = df.count()
     groups = [df.select(e).distinct().count() for e in effects]
     dof = n - len(x) - sum(groups) + len(effects) - 1
@@ -182,8 +190,7 @@ def cox(df: DataFrame, time: str, event: str, x: list[str], steps: int = 30, tol
         e = F.col(event).cast("double")
         sums = {"r": risk, **{f"r{i}": risk * cols[i] for i in range(k)}, **{f"q{i}_{j}": risk * cols[i] * cols[j] for i in range(k) for j in range(i, k)}}
         by = df.groupBy(F.col(time).cast("double").alias("time")).agg(F.sum(e).alias("d"), *(F.sum(e * cols[i]).alias(f"x{i}") for i in range(k)), *(F.sum(v).alias(n) for n, v in sums.items()))
-        for name in sums:
-            by = running(by, name, ["time"], f"c_{name}", reverse=True)
+        by = running_all(ranged(by, ["time"]), {f"c_{name}": F.col(name) for name in sums}, ["time"], reverse=True)
         at = by.where("d > 0")
         mean = [F.col(f"c_r{i}") / F.col("c_r") for i in range(k)]
         row = at.agg(*(F.sum(F.col(f"x{i}") - F.col("d") * mean[i]).alias(f"g{i}") for i in range(k)), *(F.sum(F.col("d") * (F.col(f"c_q{i}_{j}") / F.col("c_r") - mean[i] * mean[j])).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
@@ -193,23 +200,22 @@ def cox(df: DataFrame, time: str, event: str, x: list[str], steps: int = 30, tol
         b = b + step
         if np.abs(step).max() < tolerance:
             break
+    else:
+        raise RuntimeError(f"not converged after {steps} steps")
     return Fit(list(x), b, np.linalg.inv(h), means["n"], means["n"] - k, kind="cox")
 
 
 def cumulative_incidence(df: DataFrame, time: str, cause: str) -> DataFrame:
     """Competing risks (cause 0 is censoring): (time, cause, incidence), Aalen-Johansen."""
     rows = df.select(F.col(time).cast("double").alias("time"), F.col(cause).cast("int").alias("cause")).where("time >= 0 and cause is not null")
-    by = rows.groupBy("time").agg(F.count("*").alias("n"), F.count_if(F.col("cause") > 0).alias("d"))
-    by = running(by, "n", ["time"], "r", reverse=True).withColumn("q", F.ln(F.greatest(1 - F.col("d") / F.col("r"), F.lit(1e-300))))
-    by = running(by, "q", ["time"], "s").withColumn("before", F.exp(F.col("s") - F.col("q")))
-    causes = [c[0] for c in rows.where("cause > 0").select("cause").distinct().limit(1000).collect()]  # labels
-    out = None
-    counts = rows.where("cause > 0").groupBy("time", "cause").agg(F.count("*").alias("k"))
-    for c in sorted(causes):
-        one = by.join(counts.where(F.col("cause") == c).select("time", "k"), "time", "left").withColumn("step", F.col("before") * F.coalesce("k", F.lit(0)) / F.col("r"))
-        one = running(one, "step", ["time"], "incidence").select("time", F.lit(c).alias("cause"), "incidence")
-        out = one if out is None else out.unionByName(one)
-    return out
+    causes = labels(rows.where("cause > 0"), "cause")
+    counts = [F.count_if(F.col("cause") == c).alias(f"k{i}") for i, c in enumerate(causes)]
+    by = ranged(rows.groupBy("time").agg(F.count("*").alias("n"), F.count_if(F.col("cause") > 0).alias("d"), *counts), ["time"])
+    by = running_all(by, {"r": F.col("n")}, ["time"], reverse=True).withColumn("q", F.ln(F.greatest(1 - F.col("d") / F.col("r"), F.lit(1e-300))))
+    by = running_all(by, {"s": F.col("q")}, ["time"]).withColumn("before", F.exp(F.col("s") - F.col("q")))
+    by = running_all(by, {f"c{i}": F.col("before") * F.col(f"k{i}") / F.col("r") for i in range(len(causes))}, ["time"])
+    each = F.array(*(F.struct(F.lit(c).alias("cause"), F.col(f"c{i}").alias("incidence")) for i, c in enumerate(causes)))
+    return by.select("time", F.inline(each)) if causes else by.select("time", F.lit(None).cast("int").alias("cause"), F.lit(None).cast("double").alias("incidence")).limit(0)
 
 
 def var(df: DataFrame, columns: list[str], order_by: list[str], lags: int = 1) -> dict[str, Fit]:

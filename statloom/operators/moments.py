@@ -204,6 +204,9 @@ def iv_2sls(df: DataFrame, y: str, exogenous: list[str], endogenous: list[str],
     names = [ONE, *exogenous, *endogenous]
     c = lambda v: F.lit(1.0) if v == ONE else F.col(v).cast("double")
     every = [y, ONE, *exogenous, *endogenous, *instruments]
+    means = df.agg(*(F.avg(c(v)).alias(f"m{i}") for i, v in enumerate(every))).first()
+    shift = {v: 0.0 if v == ONE else means[f"m{i}"] or 0.0 for i, v in enumerate(every)}
+    raw, c = c, lambda v: raw(v) - shift[v]
     s = products(df, [c(v) for v in every])
     at = {v: i for i, v in enumerate(every)}
     xi, zi = [at[v] for v in names], [at[v] for v in (ONE, *exogenous, *instruments)]
@@ -219,6 +222,10 @@ def iv_2sls(df: DataFrame, y: str, exogenous: list[str], endogenous: list[str],
         cov = a @ products(df, fitted, e * e) @ a * n / (n - len(names))
     else:
         cov = a * rss / (n - len(names))
+    back = np.eye(len(names))
+    back[0, 1:] = [-shift[v] for v in names[1:]]
+    beta, cov = back @ beta, back @ cov @ back.T
+    beta[0] += shift[y]
     return Fit(names, beta, cov, n, n - len(names), rss, float(s[0, 0] - s[0, 1] ** 2 / n), extra={"overidentified": len(instruments) - len(endogenous)})
 
 
@@ -242,20 +249,43 @@ def fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, cluster: boo
 
 def random_effects(df: DataFrame, y: str, x: list[str], entity: str) -> Fit:
     """Swamy-Arora quasi-demeaning with each entity's own theta."""
-    within = fixed_effects(df, y, x, entity)
-    sigma_e = within.rss / within.df
-    between = df.groupBy(entity).agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in [y, *x]), F.count("*").alias("__t"))
-    bt = ols(between, y, x)
-    t_bar = within.extra["n_groups"] / between.agg(F.sum(1 / F.col("__t"))).first()[0]
-    sigma_u = max(0.0, bt.rss / bt.df - sigma_e / t_bar)
-    means = between.withColumnsRenamed({c: f"__m_{c}" for c in [y, *x]}).withColumnRenamed(entity, "__by")
-    rows = df.join(means, F.col(entity) == F.col("__by"))
-    theta = 1 - F.sqrt(F.lit(sigma_e) / (F.col("__t") * sigma_u + sigma_e))
-    rows = rows.select(*((F.col(c).cast("double") - theta * F.col(f"__m_{c}")).alias(c) for c in [y, *x]), (1 - theta).alias(ONE))
-    fit = ols(rows, y, [ONE, *x], intercept=False)
-    fit.kind = "random_effects"
-    fit.extra = {"sigma_u": sigma_u**0.5, "sigma_e": sigma_e**0.5}
-    return fit
+    no_nulls(df, [y, *x, entity])
+    every, k = [y, *x], len(x)
+    centre = df.agg(*(F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(every))).first()
+    z = [F.col(c).cast("double") - centre[f"m{i}"] for i, c in enumerate(every)]
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    # sums and products per entity hold the within, between and quasi-demeaned moments; rows are read once
+    g = df.groupBy(entity).agg(F.count("*").alias("t"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(z)), *(F.sum(z[i] * z[j]).alias(f"p{i}_{j}") for i, j in pairs))
+    t = F.col("t").cast("double")
+    mean = [F.col(f"s{i}") / t for i in range(k + 1)]
+    one = g.agg(F.count("*").alias("g"), F.sum("t").alias("n"), F.sum(1 / t).alias("h"), *(F.sum(m).alias(f"b{i}") for i, m in enumerate(mean)), *(F.sum(F.col(f"p{i}_{j}") - t * mean[i] * mean[j]).alias(f"w{i}_{j}") for i, j in pairs), *(F.sum(mean[i] * mean[j]).alias(f"q{i}_{j}") for i, j in pairs)).first()
+    full = lambda name: np.array([[one[f"{name}{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+    within, between, groups, n = full("w"), full("q"), one["g"], int(one["n"])
+    b = np.linalg.solve(within[1:, 1:], within[1:, 0])
+    sigma_e = float(within[0, 0] - b @ within[1:, 0]) / (n - groups - k)
+    total = np.array([one[f"b{i}"] for i in range(k + 1)])
+    between = between - np.outer(total, total) / groups
+    bb = np.linalg.solve(between[1:, 1:], between[1:, 0])
+    sigma_u = max(0.0, float(between[0, 0] - bb @ between[1:, 0]) / (groups - k - 1) - sigma_e * one["h"] / groups)
+    # quasi-demeaned products: x'x = p - t (2 theta - theta^2) m m', and the constant is 1 - theta
+    keep = F.sqrt(F.lit(sigma_e) / (t * sigma_u + sigma_e))  # 1 - theta
+    cells = [F.sum(F.col(f"p{i}_{j}") - t * (1 - keep * keep) * mean[i] * mean[j]).alias(f"p{i}_{j}") for i, j in pairs]
+    sums = g.agg(F.sum(t * keep * keep).alias("c"), *(F.sum(keep * keep * F.col(f"s{i}")).alias(f"c{i}") for i in range(k + 1)), *cells).first()
+    xx = np.zeros((k + 1, k + 1))
+    xx[0, 0] = sums["c"]
+    xx[0, 1:] = xx[1:, 0] = [sums[f"c{i}"] for i in range(1, k + 1)]
+    xx[1:, 1:] = [[sums[f"p{min(i, j)}_{max(i, j)}"] for j in range(1, k + 1)] for i in range(1, k + 1)]
+    xy = np.array([sums["c0"], *(sums[f"p0_{i}"] for i in range(1, k + 1))])
+    inv = np.linalg.inv(xx)
+    beta = inv @ xy
+    rss = float(sums["p0_0"] - xy @ beta)
+    dof = n - k - 1
+    back = np.eye(k + 1)
+    shift = np.array([centre[f"m{i}"] for i in range(k + 1)])
+    back[0, 1:] = -shift[1:]
+    beta, cov = back @ beta, back @ (inv * rss / dof) @ back.T
+    beta[0] += shift[0]
+    return Fit([ONE, *x], beta, cov, n, dof, rss, float("nan"), "random_effects", {"sigma_u": sigma_u**0.5, "sigma_e": sigma_e**0.5, "n_groups": groups})
 
 
 def hausman(fixed: Fit, random: Fit) -> tuple[float, int, float]:

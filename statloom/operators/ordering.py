@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART, INDEX = "__part", "__index"
+#: Rows per range of the sample that cuts ranges of tuples.
+SAMPLED = 40
 
 
 def missing(df: DataFrame, columns: list[str]) -> None:
@@ -25,20 +27,42 @@ def _rank_value(df: DataFrame, column: str) -> Column:
     c = F.col(column)
     if kind == "timestamp_ntz":
         c = c.cast("timestamp")
-    if kind == "string":  # the first bytes decide the range, ties share one
-        return F.conv(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 16, 10).cast("double")
     return F.unix_micros(c).cast("double") if kind.startswith("timestamp") else F.unix_date(c).cast("double") if kind == "date" else c.cast("double")
 
 
+def _below(bounds: list[Column], value: Column) -> Column:
+    """How many of the ascending bounds are below a value; two levels keep the search short."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if len(groups) == 1:
+        return F.size(F.filter(F.array(*bounds), lambda b: b < value))
+    whole = F.size(F.filter(F.array(*(g[-1] for g in groups)), lambda b: b < value))
+    fine = F.array(*(F.array(*g) for g in groups), F.slice(F.array(bounds[0]), 1, 0))
+    return whole * step + F.size(F.filter(F.element_at(fine, whole + 1), lambda b: b < value)) - F.when(whole == len(groups), len(groups) * step - len(bounds)).otherwise(0)
+
+
 def ranged(df: DataFrame, order_by: list[str], parts: int | None = None) -> DataFrame:
-    """``df`` with the number of its range; rows of equal first order value share a range, nulls come first."""
+    """``df`` with the number of its range; rows of equal order values share a range, nulls come first.
+
+    Ranges of one number or date are cut at its quantiles; text and several
+    columns are cut between whole tuples of a sample of about ``SAMPLED`` rows a
+    range, so that long common beginnings or frequent first values are split.
+    """
     missing(df, order_by)
-    n = parts or max(1, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    value = _rank_value(df, order_by[0])
-    cuts = df.agg(F.percentile_approx(value, [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    bounds = F.array(*(F.lit(c) for c in cuts)) if cuts else F.expr("cast(array() as array<double>)")
-    return df.withColumn(PART, F.when(value.isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda b: b < value))))
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = dict(df.dtypes)
+    if len(order_by) == 1 and kinds[order_by[0]] not in ("string", "boolean", "binary"):
+        value = _rank_value(df, order_by[0])
+        cuts = df.agg(F.percentile_approx(value, [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
+        return df.withColumn(PART, F.when(value.isNull(), F.lit(-1)).otherwise(_below([F.lit(c) for c in sorted(set(cuts or []))], value)))
+    key = F.struct(*order_by)
+    sample = df.select(*order_by).sample(min(1.0, SAMPLED * n / max(1, df.count())), seed=5).collect() if n > 1 else []
+    rows = sorted({tuple(r) for r in sample}, key=lambda r: tuple((v is not None, v) for v in r))
+    cuts = list(dict.fromkeys(rows[k * len(rows) // n] for k in range(1, n))) if rows else []
+    bounds = [F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order_by, r, strict=True))) for r in cuts]
+    return df.withColumn(PART, _below(bounds, key))
 
 
 def part_window(order_by: list[str], descending: bool = False):
@@ -53,7 +77,7 @@ def indexed(df: DataFrame, order_by: list[str]) -> DataFrame:
     before = F.sum("__n").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))  # a row per range
     totals = totals.select(PART, F.coalesce(before, F.lit(0)).alias("__before"))
     rows = rows.withColumn("__rank", F.row_number().over(part_window(order_by)))
-    return rows.join(F.broadcast(totals), PART).withColumn(INDEX, F.col("__before") + F.col("__rank") - 1).drop(PART, "__rank", "__before")  # at most 1024 ranges
+    return rows.join(F.broadcast(totals), PART).withColumn(INDEX, F.col("__before") + F.col("__rank") - 1).drop(PART, "__rank", "__before")  # a row per range
 
 
 def shifted(df: DataFrame, column: str, periods: int, order_by: list[str], name: str, group_by: list[str] | None = None) -> DataFrame:
@@ -70,13 +94,25 @@ def shifted(df: DataFrame, column: str, periods: int, order_by: list[str], name:
 def running(df: DataFrame, column: str, order_by: list[str], name: str, kind: str = "sum", reverse: bool = False) -> DataFrame:
     """``df`` with the running sum, product, maximum or minimum of a column: within ranges, then over the totals of the ranges before."""
     missing(df, [column, *order_by])
+    return running_all(ranged(df, order_by), {name: F.col(column)}, order_by, kind, reverse).select(*df.columns, name)
+
+
+def running_all(rows: DataFrame, values: dict[str, Column], order_by: list[str], kind: str = "sum", reverse: bool = False) -> DataFrame:
+    """Rows that ranged() has dealt, with a running total per name: one aggregate of the ranges and one window for all of them."""
     agg = {"sum": F.sum, "product": F.product, "max": F.max, "min": F.min}[kind]
     join = {"sum": lambda a, b: a + b, "product": lambda a, b: a * b, "max": F.greatest, "min": F.least}[kind]
-    rows = ranged(df, order_by).withColumn("__value", F.col(column).cast("double"))
-    totals = rows.groupBy(PART).agg(agg("__value").alias("__total"))
-    side = Window.orderBy(F.desc(PART) if reverse else F.asc(PART)).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(PART, agg("__total").over(side).alias("__carry"))
+    names = list(values)
+    out = [c for c in rows.columns if c not in names]
+    rows = rows.withColumns({f"__value{i}": c.cast("double") for i, c in enumerate(values.values())})
+    totals = rows.groupBy(PART).agg(*(agg(f"__value{i}").alias(f"__total{i}") for i in range(len(names))))
+    side = Window.orderBy(F.desc(PART) if reverse else F.asc(PART)).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    totals = totals.select(PART, *(agg(f"__total{i}").over(side).alias(f"__carry{i}") for i in range(len(names))))
     w = part_window(order_by, reverse).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(F.broadcast(totals), PART).withColumn("__own", agg("__value").over(w))  # a row per range
-    whole = F.when(F.col("__carry").isNull(), F.col("__own")).when(F.col("__own").isNull(), F.col("__carry")).otherwise(join(F.col("__carry"), F.col("__own")))
-    return rows.withColumn(name, F.when(F.col("__value").isNotNull(), whole)).select(*df.columns, name)
+    rows = rows.join(F.broadcast(totals), PART).withColumns({f"__own{i}": agg(f"__value{i}").over(w) for i in range(len(names))})
+
+    def whole(i: int) -> Column:
+        carry, own = F.col(f"__carry{i}"), F.col(f"__own{i}")
+        both = F.when(carry.isNull(), own).when(own.isNull(), carry).otherwise(join(carry, own))
+        return F.when(F.col(f"__value{i}").isNotNull(), both)
+
+    return rows.select(*out, *(whole(i).alias(n) for i, n in enumerate(names)))

@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from .ordering import PART, missing, ranged
 
 
-def value_ranks(df: DataFrame, column: str) -> DataFrame:
-    """A row per distinct non-null value: n, below (rows of smaller values) and dense (place among the values from 1)."""
+def value_ranks(df: DataFrame, column: str, weight: str | None = None, *carried: str) -> DataFrame:
+    """A row per distinct non-null value: n, below (rows of smaller values), dense (place among the values from 1) and sums of carried columns.
+
+    With a weight, a row counts that many times.
+    """
     missing(df, [column])
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg((F.sum(weight) if weight else F.count("*")).alias("n"), *(F.sum(c).alias(c) for c in carried))
     rows = ranged(counts, [column])
     totals = rows.groupBy(PART).agg(F.sum("n").alias("t"), F.count("*").alias("d"))
     side = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     totals = totals.select(PART, F.coalesce(F.sum("t").over(side), F.lit(0)).alias("__t"), F.coalesce(F.sum("d").over(side), F.lit(0)).alias("__d"))
     w = Window.partitionBy(PART).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(F.broadcast(totals), PART)
-    return rows.select(column, "n", (F.col("__t") + F.sum("n").over(w) - F.col("n")).alias("below"), (F.col("__d") + F.count("*").over(w)).alias("dense"))
+    return rows.select(column, "n", (F.col("__t") + F.sum("n").over(w) - F.col("n")).alias("below"), (F.col("__d") + F.count("*").over(w)).alias("dense"), *carried)
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:

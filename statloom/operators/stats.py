@@ -125,12 +125,13 @@ def levene(df: DataFrame, value: str, group: str, center: str = "median") -> Dat
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Kruskal-Wallis with the correction for ties."""
+    """Kruskal-Wallis with the correction for ties, from counts per value and group: rows are never joined to their ranks."""
     rows = df.select(F.col(group).alias("g"), _x(value).alias("x")).where("g is not null and x is not null")
-    ranked = average_ranks(rows, "x", "r")
-    by = ranked.groupBy("g").agg(F.count("*").alias("n"), F.sum("r").alias("s"))
+    cells = rows.groupBy("g", "x").agg(F.count("*").alias("c"))
+    ranks = value_ranks(cells, "x", "c")
+    by = cells.join(ranks, "x").groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("below") + (F.col("n") + 1) / 2)).alias("s"))
     t = by.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("s") ** 2 / F.col("n")).alias("q"))
-    ties = value_ranks(rows, "x").agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))
+    ties = ranks.agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))
     n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (n**3 - n))
     out = t.crossJoin(ties).select(h.alias("statistic"), (F.col("k") - 1).cast("double").alias("df"))  # one row each
@@ -140,10 +141,10 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
 def mann_whitney(df: DataFrame, value: str, group: str, a, b, continuity: bool = True) -> DataFrame:
     """Rank-sum test of two groups by the normal approximation, with ties."""
     rows = df.where(F.col(group).isin(a, b)).select((F.col(group) == F.lit(a)).cast("int").alias("a"), _x(value).alias("x")).where("x is not null")
-    ranked = average_ranks(rows, "x", "r")
-    s = ranked.agg(F.sum("a").alias("na"), F.count("*").alias("n"), F.sum(F.col("a") * F.col("r")).alias("ra"))
-    ties = value_ranks(rows, "x").agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))
-    s = s.crossJoin(ties).withColumn("nb", F.col("n") - F.col("na")).withColumn("statistic", F.col("ra") - F.col("na") * (F.col("na") + 1) / 2)  # one row each
+    cells = rows.groupBy("x").agg(F.count("*").alias("c"), F.sum("a").alias("ca"))
+    ranks = value_ranks(cells, "x", "c", "ca")
+    s = ranks.agg(F.sum("ca").alias("na"), F.sum("n").alias("n"), F.sum(F.col("ca") * (F.col("below") + (F.col("n") + 1) / 2)).alias("ra"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))
+    s = s.withColumn("nb", F.col("n") - F.col("na")).withColumn("statistic", F.col("ra") - F.col("na") * (F.col("na") + 1) / 2)
     n, na, nb = F.col("n").cast("double"), F.col("na").cast("double"), F.col("nb").cast("double")
     d = F.col("statistic") - na * nb / 2
     sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
@@ -200,10 +201,10 @@ def chisq_fit(df: DataFrame, column: str) -> DataFrame:
 def ks_two(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov: distribution functions at every value by ranged prefix sums."""
     rows = df.where(F.col(group).isin(a, b)).select((F.col(group) == F.lit(a)).cast("int").alias("a"), _x(value).alias("x")).where("x is not null")
-    from .ordering import running
+    from .ordering import ranged, running_all
 
     steps = rows.groupBy("x").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
-    steps = running(running(steps, "na", ["x"], "ca"), "nb", ["x"], "cb")
+    steps = running_all(ranged(steps, ["x"]), {"ca": F.col("na"), "cb": F.col("nb")}, ["x"])
     t = rows.agg(F.sum("a").alias("ta"), F.sum(1 - F.col("a")).alias("tb"))
     d = steps.crossJoin(t).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("statistic"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))  # one row
     n = F.col("ta") * F.col("tb") / (F.col("ta") + F.col("tb"))

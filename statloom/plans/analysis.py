@@ -302,16 +302,16 @@ def _(t):
 _LIFE = "SELECT l_quantity AS t, (l_returnflag = 'R')::INT AS e, l_linestatus AS g FROM lineitem"
 
 
-@query("kaplan_meier", f"WITH b AS (SELECT t, sum(e) d, count(*) n FROM ({_LIFE}) GROUP BY 1), r AS (SELECT t, d, sum(n) OVER (ORDER BY t DESC) r FROM b) SELECT t AS time, r AS n_risk, d AS n_event, round(exp(sum(ln(CASE WHEN d < r THEN 1 - d / r END)) OVER (ORDER BY t)), 6) AS survival, round(sum(d / r) OVER (ORDER BY t), 6) AS hazard FROM r WHERE t < 50")
+@query("kaplan_meier", f"WITH b AS (SELECT t, sum(e) d, count(*) n FROM ({_LIFE}) GROUP BY 1), r AS (SELECT t, d, sum(n) OVER (ORDER BY t DESC) r FROM b), s AS (SELECT *, exp(sum(ln(CASE WHEN d < r THEN 1 - d / r END)) OVER (ORDER BY t)) s, sum(CASE WHEN d < r THEN d / (r * (r - d)) END) OVER (ORDER BY t) v, sum(d / r) OVER (ORDER BY t) h, max((d >= r)::INT) OVER (ORDER BY t) z FROM r) SELECT t AS time, r AS n_risk, d AS n_event, round(CASE WHEN z = 1 THEN 0 ELSE s END, 6) AS survival, round(CASE WHEN z = 1 THEN 0 ELSE s END * sqrt(v), 6) AS std_error, round(h, 6) AS hazard FROM s")
 def _(t):
     rows = t("lineitem").select(F.col("l_quantity").alias("t"), (F.col("l_returnflag") == "R").cast("int").alias("e"))
-    return rounded(survival.kaplan_meier(rows, "t", "e").drop("std_error").where("time < 50"), 6)
+    return rounded(survival.kaplan_meier(rows, "t", "e").drop("low", "high"), 6)
 
 
-@query("log_rank", f"WITH b AS (SELECT t, sum(e) d, count(*) n, sum(e * (g = 'F')::INT) da, sum((g = 'F')::INT) na FROM ({_LIFE}) GROUP BY 1), r AS (SELECT d, da, sum(n) OVER (ORDER BY t DESC) r, sum(na) OVER (ORDER BY t DESC) ra FROM b) SELECT sum(da) AS observed, round(sum(d * ra / r), 6) AS expected FROM r")
+@query("log_rank", f"WITH b AS (SELECT t, sum(e) d, count(*) n, sum(e * (g = 'F')::INT) da, sum((g = 'F')::INT) na FROM ({_LIFE}) GROUP BY 1), r AS (SELECT n, na, d, da, sum(n) OVER (ORDER BY t DESC) r, sum(na) OVER (ORDER BY t DESC) ra FROM b), s AS (SELECT sum(na) na, sum(n) n, sum(da) o, sum(d) d, sum(d * ra / r) e, sum(CASE WHEN r > 1 THEN d * (ra / r) * (1 - ra / r) * (r - d) / (r - 1) ELSE 0 END) v FROM r), f AS (SELECT *, round((o - e) ** 2 / v, 6) AS statistic FROM s) SELECT 'F' AS group, na AS n, o AS observed, round(e, 6) AS expected, statistic, 1 AS df FROM f UNION ALL SELECT 'O', n - na, d - o, round(d - e, 6), statistic, 1 FROM f")
 def _(t):
     rows = t("lineitem").select(F.col("l_quantity").alias("t"), (F.col("l_returnflag") == "R").cast("int").alias("e"), F.col("l_linestatus").alias("g"))
-    return rounded(survival.log_rank(rows, "t", "e", "g").select("observed", "expected"), 6)
+    return _six(survival.log_rank(rows, "t", "e", "g"))
 
 
 @query("kmeans")
@@ -330,7 +330,7 @@ def _(t):
     return learn.association_rules(baskets, "items", 0.001, 0.05)
 
 
-@query("distance_correlation_cells", "SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS mean_norm FROM embeddings GROUP BY 1")
+@query("norms_by_label", "SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS mean_norm FROM embeddings GROUP BY 1")
 def _(t):
     return rounded(learn.norms_by(t("embeddings"), "embedding", "label"), 6)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analysis, munging
+from .plans import analysis, more, munging  # noqa: F401  (more registers its queries with those of analysis)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Maximum likelihood with the log-likelihood of a row as a column expression.
 
 Score and information come from central differences of that expression, all in
-one aggregate per Newton step; rows never leave the JVM.
+one aggregate per Newton step: a row meets each point of the differences (1 + 2k +
+k(k - 1) of them, sent to all tasks) and is summed in place; rows never leave the JVM.
 """
 
 from __future__ import annotations
@@ -35,20 +36,24 @@ def maximize(df: DataFrame, loglik: Callable[[list[Column]], Column], start: lis
     pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
     theta = np.array(start, float)
 
-    def at(shift: dict[int, float]) -> Column:
-        return loglik([F.lit(float(theta[i] + shift.get(i, 0.0))) for i in range(k)])
+    # the expression is built once; a pass joins the rows with the stated points (one per difference) and sums per point
+    told = loglik([F.col(f"__t{i}") for i in range(k)])
+    moves = [{}, *({i: d * h} for i in range(k) for d in (-1, 1)), *({i: d * h, j: d * h} for i, j in pairs for d in (-1, 1))]
+    schema = "__s int, " + ", ".join(f"__t{i} double" for i in range(k))
 
     def measured() -> tuple[float, np.ndarray, np.ndarray, int]:
-        cells = [F.sum(at({})).alias("l"), F.count("*").alias("n")]
-        cells += [F.sum(at({i: d * h})).alias(f"a{i}_{d}") for i in range(k) for d in (-1, 1)]
-        cells += [F.sum(at({i: a * h, j: b * h})).alias(f"b{i}_{j}_{a}_{b}") for i, j in pairs for a, b in ((1, 1), (-1, -1))]
-        row = df.agg(*cells).first()
-        grad = np.array([(row[f"a{i}_1"] - row[f"a{i}_-1"]) / (2 * h) for i in range(k)])
-        hess = np.diag([(row[f"a{i}_1"] - 2 * row["l"] + row[f"a{i}_-1"]) / h**2 for i in range(k)])
-        for i, j in pairs:
-            cross = row[f"b{i}_{j}_1_1"] + row[f"b{i}_{j}_-1_-1"] - row[f"a{i}_1"] - row[f"a{i}_-1"] - row[f"a{j}_1"] - row[f"a{j}_-1"] + 2 * row["l"]
+        at = df.sparkSession.createDataFrame([(s, *(float(theta[i] + m.get(i, 0.0)) for i in range(k))) for s, m in enumerate(moves)], schema)
+        got = {r["__s"]: r for r in df.crossJoin(F.broadcast(at)).groupBy("__s").agg(F.sum(told).alias("l"), F.count("*").alias("n")).collect()}  # a row per point
+        if not got:
+            raise ValueError("no rows")
+        ll = [got[s]["l"] if got[s]["l"] is not None else float("nan") for s in range(len(moves))]
+        grad = np.array([(ll[2 * i + 2] - ll[2 * i + 1]) / (2 * h) for i in range(k)])
+        hess = np.diag([(ll[2 * i + 2] - 2 * ll[0] + ll[2 * i + 1]) / h**2 for i in range(k)])
+        for c, (i, j) in enumerate(pairs):
+            both = ll[2 * k + 2 * c + 1] + ll[2 * k + 2 * c + 2]
+            cross = both - ll[2 * i + 1] - ll[2 * i + 2] - ll[2 * j + 1] - ll[2 * j + 2] + 2 * ll[0]
             hess[i, j] = hess[j, i] = cross / (2 * h**2)
-        return row["l"], grad, hess, row["n"]
+        return ll[0], grad, hess, got[0]["n"]
 
     best, grad, hess, n = measured()
     for _ in range(steps):
@@ -61,7 +66,7 @@ def maximize(df: DataFrame, loglik: Callable[[list[Column]], Column], start: lis
         while True:
             theta = origin + scale * step
             now = measured()
-            if math.isfinite(now[0]) and now[0] >= best - 1e-9 * abs(best) or scale < 1e-4:
+            if np.isfinite(now[0]) and np.isfinite(now[2]).all() and now[0] >= best - 1e-9 * abs(best) or scale < 1e-4:
                 break
             scale /= 2
         gain = now[0] - best

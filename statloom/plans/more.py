@@ -250,10 +250,10 @@ def _(t):
 
 
 def _counts(t):
-    """Orders of each customer, a third of whom have none."""
-    n = t("orders").groupBy("o_custkey").agg(F.count("*").alias("y"))
+    """Urgent orders of each customer; those of some nations count none."""
+    n = t("orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.count("*").alias("n"))
     rows = t("customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return rows.select(F.coalesce("y", F.lit(0)).alias("y"), (F.col("c_acctbal") / 10000).cast("double").alias("q"))
+    return rows.select(F.when(F.col("c_nationkey") % 4 == 0, 0).otherwise(F.coalesce("n", F.lit(0))).alias("y"), (F.col("c_acctbal") / 10000).cast("double").alias("q"))
 
 
 @query("logit_binary", "WITH c AS (SELECT sum((l_returnflag = 'R' AND l_linestatus = 'F')::INT) a, sum((l_returnflag <> 'R' AND l_linestatus = 'F')::INT) b, sum((l_returnflag = 'R' AND l_discount > 0.05)::INT) u, sum((l_returnflag <> 'R' AND l_discount > 0.05)::INT) v, sum((l_returnflag = 'R' AND l_discount <= 0.05)::INT) w, sum((l_returnflag <> 'R' AND l_discount <= 0.05)::INT) x FROM lineitem) SELECT '(Intercept)' AS term, round(ln(w / x), 6) AS estimate, round(sqrt(1.0 / w + 1.0 / x), 6) AS std_error FROM c UNION ALL SELECT 'd', round(ln(u / v) - ln(w / x), 6), round(sqrt(1.0 / u + 1.0 / v + 1.0 / w + 1.0 / x), 6) FROM c")
@@ -289,7 +289,7 @@ for _link in ("logit", "probit"):
 
     @query(f"ordered_{_link}")
     def _(t, link=_link):
-        rows = _counts(t).withColumn("y", (F.least("y", F.lit(20)) / 10).cast("int"))
+        rows = _counts(t).withColumn("y", F.least("y", F.lit(2)))
         return likelihood.ordered(rows, "y", ["q"], link).frame(rows.sparkSession)
 
 

@@ -325,7 +325,8 @@ def gap_statistic(df: DataFrame, x: list[str], most: int = 6, references: int =
     spark = df.sparkSession
     box = df.agg(*(f(F.col(c).cast("double")) for c in x for f in (F.min, F.max)), F.count("*")).first()
     n = box[len(x) * 2]
-    cost = lambda rows, k: float(np.log(max(KMeans(k=k, seed=seed, featuresCol="__features").fit(_data(rows, x)).summary.trainingCost, 1e-300)))
+    whole = lambda rows: rows.agg(sum((F.var_pop(F.col(c).cast("double")) for c in x), F.lit(0.0)) * F.count("*")).first()[0]
+    cost = lambda rows, k: float(np.log(max(whole(rows), 1e-300))) if k == 1 else float(np.log(max(KMeans(k=k, seed=seed, featuresCol="__features").fit(_data(rows, x)).summary.trainingCost, 1e-300)))
     drawn = [spark.range(n).select(*((F.rand(seed + 97 * r + i) * (box[2 * i + 1] - box[2 * i]) + box[2 * i]).alias(c) for i, c in enumerate(x))) for r in range(references)]
     out = []
     for k in range(1, most + 1):

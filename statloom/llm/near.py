@@ -50,7 +50,7 @@ TREES = 20
 DEPTH = 10
 VALUE_BITS = 12
 #: Shingles of the texts that a block holds on average, and what a text counts beside its own.
-BLOCK, TEXT_WEIGHT = 100_000, 128
+BLOCK, TEXT_WEIGHT = 200_000, 512
 #: Bins of the similarities, from the threshold to 1.
 BINS = 50
 #: Word hashes that a worker remembers.

@@ -132,6 +132,22 @@ def p_value(distribution: str, statistic: Column, *df: Column) -> Column:
     return F.pandas_udf(of, "double")(F.struct(*(c.cast("double").alias(f"_{i}") for i, c in enumerate((statistic, *df)))))
 
 
+def f_critical(upper: float, df1: float, df2: float) -> float:
+    """The value that an F variable exceeds with probability ``upper``."""
+    return math.exp(inverse(lambda v: -f_upper(math.exp(v), df1, df2), -upper, -50, 50))
+
+
+def t_limit(df: Column, level: float) -> Column:
+    """t value that holds ``level`` of the distribution between its negative and itself (few rows by nature)."""
+    import pandas as pd
+
+    def of(d):
+        return d.map(lambda v: t_critical(v, level) if v == v and v > 0 else None).astype("float64")
+
+    of.__annotations__ = {"d": pd.Series, "return": pd.Series}
+    return F.pandas_udf(of, "double")(df.cast("double"))
+
+
 def adjust_p(p: list[float], method: str = "bh") -> list[float]:
     """Adjusted p-values: bonferroni, holm, hochberg, bh (fdr), by."""
     n = len(p)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import p_value
+from ..functions.special import p_value, t_limit
 from .ranks import average_ranks, value_ranks
 
 
@@ -50,15 +50,42 @@ def robust(df: DataFrame, column: str, trim: float = 0.1) -> DataFrame:
     return t.crossJoin(mad).select(F.lit(n).alias("n"), F.lit(q[1]).alias("median"), (F.col("m") * 1.4826).alias("mad"), F.lit(q[2] - q[0]).alias("iqr"), (F.col("s") / F.col("c")).alias("trimmed_mean"), ((F.col("s") + k * (F.col("lo") + F.col("hi"))) / n).alias("winsorized_mean"))  # one row each
 
 
-def t_test_one(df: DataFrame, column: str, mu: float = 0.0) -> DataFrame:
+#: What a test may look for.
+ALTERNATIVES = ("two-sided", "greater", "less")
+
+
+def _side(two_sided: Column, statistic: Column, alternative: str) -> Column:
+    """The p-value on the side looked for, of a statistic that is symmetric around zero."""
+    if alternative not in ALTERNATIVES:
+        raise ValueError(f"the alternative is one of {', '.join(ALTERNATIVES)}")
+    if alternative == "two-sided":
+        return two_sided
+    return F.when((statistic > 0) == F.lit(alternative == "greater"), two_sided / 2).otherwise(1 - two_sided / 2)
+
+
+def _t_told(s: DataFrame, estimate: Column, se: Column, alternative: str, level: float | None, keep: list[str]) -> DataFrame:
+    """p-value and, with a level, confidence limits (one-sided ones for a one-sided alternative) of rows with statistic and df."""
+    s = s.withColumn("__p", p_value("t", F.col("statistic"), F.col("df")))
+    limits = []
+    if level is not None:
+        one = alternative != "two-sided"
+        s = s.withColumn("__c", t_limit(F.col("df"), 2 * level - 1 if one else level))
+        low, high = estimate - F.col("__c") * se, estimate + F.col("__c") * se
+        limits = [(F.lit(float("-inf")) if alternative == "less" else low).alias("low"), (F.lit(float("inf")) if alternative == "greater" else high).alias("high")]
+    return s.select(*keep, "statistic", "df", _side(F.col("__p"), F.col("statistic"), alternative).alias("p_value"), *limits)
+
+
+def t_test_one(df: DataFrame, column: str, mu: float = 0.0, alternative: str = "two-sided", level: float | None = None) -> DataFrame:
+    """Test of a mean against ``mu``; with a ``level`` also its confidence limits (low, high)."""
     x = _x(column)
-    s = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
-    s = s.select("n", "mean", ((F.col("mean") - mu) / (F.col("sd") / F.sqrt("n"))).alias("statistic"), (F.col("n") - 1).cast("double").alias("df"))
-    return s.withColumn("p_value", p_value("t", F.col("statistic"), F.col("df")))
+    s = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("__se"))
+    s = s.withColumn("statistic", (F.col("mean") - mu) / F.col("__se")).withColumn("df", (F.col("n") - 1).cast("double"))
+    return _t_told(s, F.col("mean"), F.col("__se"), alternative, level, ["n", "mean"])
 
 
-def t_test_paired(df: DataFrame, a: str, b: str) -> DataFrame:
-    return t_test_one(df.select((_x(a) - _x(b)).alias("d")), "d")
+def t_test_paired(df: DataFrame, a: str, b: str, mu: float = 0.0, alternative: str = "two-sided", level: float | None = None) -> DataFrame:
+    """Test of the mean of a - b against ``mu``."""
+    return t_test_one(df.select((_x(a) - _x(b)).alias("d")), "d", mu, alternative, level)
 
 
 def _two(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
@@ -70,8 +97,8 @@ def _two(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     return df.agg(*cols)
 
 
-def t_test_two(df: DataFrame, value: str, group: str, a, b, equal_variance: bool = False) -> DataFrame:
-    """Welch's test, or the pooled one."""
+def t_test_two(df: DataFrame, value: str, group: str, a, b, equal_variance: bool = False, mu: float = 0.0, alternative: str = "two-sided", level: float | None = None) -> DataFrame:
+    """Welch's test, or the pooled one, of the mean of a less that of b against ``mu``."""
     s = _two(df, value, group, a, b)
     n0, n1, v0, v1 = (F.col(c) for c in ("n0", "n1", "v0", "v1"))
     if equal_variance:
@@ -80,15 +107,19 @@ def t_test_two(df: DataFrame, value: str, group: str, a, b, equal_variance: bool
     else:
         a_, b_ = v0 / n0, v1 / n1
         se, dof = F.sqrt(a_ + b_), (a_ + b_) ** 2 / (a_ * a_ / (n0 - 1) + b_ * b_ / (n1 - 1))
-    s = s.select(F.col("m0").alias("mean_a"), F.col("m1").alias("mean_b"), ((F.col("m0") - F.col("m1")) / se).alias("statistic"), dof.alias("df"))
-    return s.withColumn("p_value", p_value("t", F.col("statistic"), F.col("df")))
+    apart = F.col("m0") - F.col("m1")
+    s = s.select(F.col("m0").alias("mean_a"), F.col("m1").alias("mean_b"), apart.alias("__d"), se.alias("__se"), ((apart - mu) / se).alias("statistic"), dof.alias("df"))
+    return _t_told(s, F.col("__d"), F.col("__se"), alternative, level, ["mean_a", "mean_b"])
 
 
-def variance_test(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
-    """F test of two variances."""
-    s = _two(df, value, group, a, b).select((F.col("v0") / F.col("v1")).alias("statistic"), (F.col("n0") - 1).alias("df1"), (F.col("n1") - 1).alias("df2"))
-    upper = p_value("f", F.col("statistic"), F.col("df1"), F.col("df2"))
-    return s.withColumn("__u", upper).withColumn("p_value", 2 * F.least(F.col("__u"), 1 - F.col("__u"))).drop("__u")
+def variance_test(df: DataFrame, value: str, group: str, a, b, ratio: float = 1.0, alternative: str = "two-sided") -> DataFrame:
+    """F test of the ratio of two variances against ``ratio``."""
+    s = _two(df, value, group, a, b).select((F.col("v0") / F.col("v1") / ratio).alias("statistic"), (F.col("n0") - 1).alias("df1"), (F.col("n1") - 1).alias("df2"))
+    upper = F.col("__u")
+    sides = {"two-sided": 2 * F.least(upper, 1 - upper), "greater": upper, "less": 1 - upper}
+    if alternative not in sides:
+        raise ValueError(f"the alternative is one of {', '.join(ALTERNATIVES)}")
+    return s.withColumn("__u", p_value("f", F.col("statistic"), F.col("df1"), F.col("df2"))).withColumn("p_value", sides[alternative]).drop("__u")
 
 
 def anova(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -138,7 +169,13 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     return out.withColumn("p_value", p_value("chi2", F.col("statistic"), F.col("df")))
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, a, b, continuity: bool = True) -> DataFrame:
+def _towards(d: Column, continuity: bool, alternative: str) -> Column:
+    """A half towards the middle, or against the side looked for."""
+    half = F.signum(d) if alternative == "two-sided" else F.lit(1.0 if alternative == "greater" else -1.0)
+    return d - half * (0.5 if continuity else 0.0)
+
+
+def mann_whitney(df: DataFrame, value: str, group: str, a, b, continuity: bool = True, alternative: str = "two-sided") -> DataFrame:
     """Rank-sum test of two groups by the normal approximation, with ties."""
     rows = df.where(F.col(group).isin(a, b)).select((F.col(group) == F.lit(a)).cast("int").alias("a"), _x(value).alias("x")).where("x is not null")
     cells = rows.groupBy("x").agg(F.count("*").alias("c"), F.sum("a").alias("ca"))
@@ -148,19 +185,20 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b, continuity: bool =
     n, na, nb = F.col("n").cast("double"), F.col("na").cast("double"), F.col("nb").cast("double")
     d = F.col("statistic") - na * nb / 2
     sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (d - F.signum(d) * (0.5 if continuity else 0.0)) / sd
-    return s.select("statistic", z.alias("z")).withColumn("p_value", p_value("z", F.col("z")))
+    s = s.select("statistic", (_towards(d, continuity, alternative) / sd).alias("z")).withColumn("p_value", p_value("z", F.col("z")))
+    return s.withColumn("p_value", _side(F.col("p_value"), F.col("z"), alternative))
 
 
-def signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Wilcoxon's signed-rank test of pairs (zero differences left out), by the normal approximation."""
-    rows = df.select((_x(a) - _x(b)).alias("d")).where("d is not null and d <> 0").select("d", F.abs("d").alias("x"))
+def signed_rank(df: DataFrame, a: str, b: str, mu: float = 0.0, continuity: bool = False, alternative: str = "two-sided") -> DataFrame:
+    """Wilcoxon's signed-rank test of a - b against ``mu`` (zero differences left out), by the normal approximation."""
+    rows = df.select((_x(a) - _x(b) - mu).alias("d")).where("d is not null and d <> 0").select("d", F.abs("d").alias("x"))
     ranked = average_ranks(rows, "x", "r")
     s = ranked.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("statistic"))
     ties = value_ranks(rows, "x").agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))
     n = F.col("n").cast("double")
-    z = (F.col("statistic") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return s.crossJoin(ties).select("statistic", z.alias("z")).withColumn("p_value", p_value("z", F.col("z")))  # one row each
+    z = _towards(F.col("statistic") - n * (n + 1) / 4, continuity, alternative) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    s = s.crossJoin(ties).select("statistic", z.alias("z")).withColumn("p_value", p_value("z", F.col("z")))  # one row each
+    return s.withColumn("p_value", _side(F.col("p_value"), F.col("z"), alternative))
 
 
 def friedman(df: DataFrame, value: str, treatment: str, block: str) -> DataFrame:

@@ -23,7 +23,7 @@ def points(df: DataFrame, x: list[str], id_col: str) -> tuple[list, np.ndarray]:
     got = df.select(id_col, *(F.col(c).cast("double") for c in x)).dropna().orderBy(id_col).limit(MAX_POINTS + 1).collect()
     if len(got) > MAX_POINTS:
         raise ValueError(f"more than {MAX_POINTS} points: cluster the means of k-means cells instead")
-    return [r[0] for r in got], np.array([r[1:] for r in got], dtype=float)
+    return [r[0] for r in got], np.array([r[1:] for r in got], dtype=float).reshape(len(got), len(x))
 
 
 def distances(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import inspect
 CATEGORIES = {
     "rows and columns": "transform", "cleaning": "clean", "joins": "join", "aggregates": "aggregate", "reshaping": "reshape", "features": "features",
     "quality": "quality", "statistics": "stats", "regression": "moments", "models": "models", "causal": "causal", "series": "series", "survival": "survival", "learning": "learn",
-    "inference": "inference", "likelihood": "likelihood", "regression models": "regress", "effects": "effects", "forecasting": "forecast", "spatial": "spatial", "trees": "trees", "clustering": "cluster", "graphs": "graph",
+    "inference": "inference", "likelihood": "likelihood", "regression models": "regress", "effects": "effects", "forecasting": "forecast", "spatial": "spatial", "trees": "trees", "clustering": "cluster", "graphs": "graph", "dynamic panels": "panel", "neighbours and maps": "neighbours",
 }
 
 

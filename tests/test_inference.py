@@ -146,6 +146,27 @@ def test_samples_and_curves(data, spark):
     assert polish["overall", ""] == 14 and polish["row", "2"] == 1 and polish["column", "0"] == -3
 
 
+def test_shapiro_wilk_of_many_rows(spark):
+    # more rows than are brought to the driver, tied ones among them: W by its definition in numpy, as for fewer rows
+    from statistics import NormalDist
+
+    rng = np.random.default_rng(3)
+    n = 3 * inference.MAX_SAMPLE
+    x = np.sort(np.round(rng.gamma(30.0, 1.0, n), 2))
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    an, an1, phi = inference._outer_weights(n, float(m @ m), m[-1], m[-2])
+    a = m / math.sqrt(phi)
+    a[-1], a[-2], a[0], a[1] = an, an1, -an, -an1
+    r = inference.shapiro_wilk(spark.createDataFrame([(float(v),) for v in rng.permutation(x)], "v double"), "v").first()
+    assert r.n == n and r.p_value is None and r.statistic == pytest.approx((a @ x) ** 2 / ((x - x.mean()) ** 2).sum(), rel=1e-10)
+    normal = spark.createDataFrame([(float(v),) for v in rng.permutation(m)], "v double")
+    assert 0.9999 < inference.shapiro_wilk(normal, "v").first().statistic <= 1
+    # the two ways agree where both can go
+    some = normal.limit(2000)
+    w, n = inference._shapiro_many(some.selectExpr("v as x"))
+    assert n == 2000 and w == pytest.approx(inference.shapiro_wilk(some, "v").first().statistic, rel=1e-10)
+
+
 def test_power():
     assert inference.power_proportions(50, 0.5, 0.75) == pytest.approx(0.740, abs=0.002)
     assert inference.power_anova(4, 5, 1, 3) == pytest.approx(0.3535594, abs=1e-4)

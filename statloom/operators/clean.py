@@ -74,22 +74,21 @@ def fill_na(df: DataFrame, strategy: str, columns: list[str] | None = None, valu
 def _carry(df: DataFrame, names: list[str], order_by: list[str], forward: bool, group_by: list[str] | None) -> DataFrame:
     from .ordering import PART, ranged
 
-    f = F.last if forward else F.first
-    near = (Window.unboundedPreceding, Window.currentRow) if forward else (Window.currentRow, Window.unboundedFollowing)
-    keys = [F.asc_nulls_first(c) for c in order_by]
+    # backward is the last known value in the opposite order: a frame that ends with the last row is worked out anew for each row
+    near = (Window.unboundedPreceding, Window.currentRow)
+    keys = [F.asc_nulls_first(c) if forward else F.desc_nulls_last(c) for c in order_by]
     if group_by:
         w = Window.partitionBy(*group_by).orderBy(*keys).rowsBetween(*near)
-        return df.withColumns({c: f(c, ignorenulls=True).over(w) for c in names})
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in names})
     rows = ranged(df, order_by)
     key = F.struct(*order_by)
     pick = F.max_by if forward else F.min_by
     ends = rows.groupBy(PART).agg(*(pick(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"__e_{c}") for c in names))
-    far = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
-    side = Window.orderBy(PART).rowsBetween(*far)  # a row per range
-    ends = ends.select(PART, *(f(f"__e_{c}", ignorenulls=True).over(side).alias(f"__c_{c}") for c in names))
+    side = Window.orderBy(PART if forward else F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    ends = ends.select(PART, *(F.last(f"__e_{c}", ignorenulls=True).over(side).alias(f"__c_{c}") for c in names))
     w = Window.partitionBy(PART).orderBy(*keys).rowsBetween(*near)
     rows = rows.join(F.broadcast(ends), PART)
-    return rows.withColumns({c: F.coalesce(f(c, ignorenulls=True).over(w), F.col(f"__c_{c}")) for c in names}).select(*df.columns)
+    return rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"__c_{c}")) for c in names}).select(*df.columns)
 
 
 def deduplicate(df: DataFrame, subset: list[str] | None = None, keep: str = "first", order_by: list[str] | None = None) -> DataFrame:

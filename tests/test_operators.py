@@ -48,6 +48,17 @@ def test_missing_values(people):
     assert ids(clean.deduplicate(people, ["score"], "last", ["id"])) == [2, 3, 4, 5]
 
 
+def test_backward_fill_keeps_running_frames(spark):
+    # a frame that ends with the last row of a partition is worked out anew for each row
+    rows = [(i, i % 3, float(i) if i % 5 == 0 and i < 380 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, g int, v double").repartition(5)
+    for group in (None, ["g"]):
+        filled = clean.fill_na(df, "backward", ["v"], order_by=["i"], group_by=group)
+        assert "unboundedfollowing" not in filled._jdf.queryExecution().optimizedPlan().toString().lower()
+        want = [next((v for j, h, v in rows[i:] if v is not None and (group is None or h == g)), None) for i, g, _ in rows]
+        assert [r.v for r in filled.orderBy("i").collect()] == want
+
+
 def test_strings(people):
     assert clean.trim(people).where("id = 4").first().name == "ann"
     assert clean.str_pad(people, "name", 4, "*").where("id = 5").first().name == "Çelik"

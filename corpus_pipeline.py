@@ -7,6 +7,8 @@ Defined results: null texts count as empty ones, which no stage drops except as
 copies of each other; rows of equal or null id are kept or dropped one by one;
 an empty table gives an empty result; further columns pass through unread,
 whatever their names are, up to the last stage.
+
+The stages that run Python set small Arrow batches in the session.
 """
 
 from __future__ import annotations
@@ -17,23 +19,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import decontaminate, near, pieces, secrets, toxicity
-from statloom.llm.common import table
+from statloom.llm.common import small_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7; the model is fitted on this stage's own input."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word Jaccard similarity 0.8 or more connect: the one of the least id."""
+    small_batches(spark)
     return near.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -44,6 +49,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digests of the ids and of the text decoded from them."""
+    small_batches(spark)
     return pieces.encode(docs, pieces.model_path())
 
 

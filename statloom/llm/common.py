@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType, StringType, StructType
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 512
+#: Bytes of an Arrow batch under small_batches(); a longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,29 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold about ``BATCH_BYTES`` at most, unless a smaller size is set.
+
+    10,000 whole texts can take tens of MB, of which an executor and its Python
+    workers hold several copies. The size is a setting of the session, as results
+    are planned when they are read; it changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A few rows of the driver as a frame; numbers and strings go without a Python worker, which createDataFrame() starts for a list."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    if not all(isinstance(f.dataType, IntegralType | StringType) for f in schema):
+        return spark.createDataFrame(rows, schema)
+    arrow = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow), schema)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """Apply a per-row function inside Arrow batches.
 

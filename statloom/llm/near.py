@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, fresh, map_rows, table
+from .common import SLICE_ROWS, fresh, local, map_rows, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -224,7 +224,8 @@ def tries(nodes: DataFrame, floor: int, scratch: Scratch) -> DataFrame:
             d = int(_depths(np.array([k[2] ^ l[2]]), np.array([k[3] ^ l[3]]))[0])
             if d >= floor:
                 seams.append((l[4], k[4], d))
-    edges = found.where("part is null").select("a", "b", "depth").union(spark.createDataFrame(seams, "a long, b long, depth long"))
+    edges = found.where("part is null").select("a", "b", "depth")
+    edges = edges.union(local(spark, seams, edges.schema))
     return edges.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("depth").alias("depth"))
 
 

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import local, map_rows, table
 
 MAX_TOXIC = 3_000
 MAX_ORDINARY = 6_000
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 break
             chosen[r["_id"], r["_key"]] = len(chosen)
         # no more than MAX_SAMPLE_BYTES of text leave the tasks, a repeated row once
-        picks = docs.sparkSession.createDataFrame(list(chosen), rows.select("_id", "_key").schema)
+        picks = local(docs.sparkSession, list(chosen), rows.select("_id", "_key").schema)
         got = rows.join(F.broadcast(picks), ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.first("_text").alias("_text"))
         found = sorted((chosen[r["_id"], r["_key"]], r["_text"]) for r in got.toLocalIterator())
         texts[y] = [t for _, t in found]

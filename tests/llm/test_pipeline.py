@@ -1,7 +1,10 @@
 """The pipeline on a small table, each stage against what it should keep."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from statloom.llm import near, pieces
+from statloom.llm import common, near, pieces
 
 
 def test_stages_keep_clean_documents(spark, tmp_path):
@@ -30,3 +33,41 @@ def test_stages_keep_clean_documents(spark, tmp_path):
         assert table.decode(r.ids) == seen["secret_scans"][k].text
     whole = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {k: r.ids_sha256 for k, r in seen["sentencepiece"].items()}
+
+
+def test_stages_get_small_batches(spark, tmp_path):
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 3 << 20
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.sha1((F.col("id") * 1000 + k).cast("string"))))
+    docs = spark.range(0, 800, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))  # 10 MB of text in one file
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "never said")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    before = spark.conf.get(key)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "secret_scans":  # no Python
+                spark.conf.set(key, before)
+                stage(spark, docs, str(tmp_path))
+                found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+                assert sum(found) > 8 << 20 and max(found) < most, name
+        spark.conf.set(key, "1m")  # a smaller size stays
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_rows_of_the_driver_need_no_python_worker(spark):
+    schema = spark.createDataFrame([], "id long, name string").schema
+    for rows in ([(1, "a"), (None, "ä"), (-(2**63), None)], []):
+        made = common.local(spark, rows, schema)
+        assert made.schema == schema and [tuple(r) for r in made.collect()] == rows
+        assert "RDD" not in made._jdf.queryExecution().executedPlan().toString()
+    when = spark.sql("select timestamp'2020-01-01 00:00:00' t")
+    assert common.local(spark, [tuple(when.first())], when.schema).collect() == when.collect()

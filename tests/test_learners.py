@@ -73,6 +73,40 @@ def test_merges_of_many_points(blobs, spark, monkeypatch):
             assert [(r.a, r.b, r.size) for r in again] == [(r.a, r.b, r.size) for r in want] and [r.height for r in again] == pytest.approx([r.height for r in want])
 
 
+def test_sums_of_distances_without_all_pairs(monkeypatch):
+    # clusters of many sizes, one of them holding a third of the points, in one to five columns; all pairs of points were compared before
+    from statloom.operators import linkage, sums
+
+    rng = np.random.default_rng(11)
+    plain, looked = sums.apart, [0]
+
+    def counted(a, b):
+        looked[0] += len(a) * len(b)
+        return plain(a, b)
+
+    monkeypatch.setattr(sums, "apart", counted)
+    for columns, n, most in ((1, 20000, 0.15), (2, 40000, 0.8), (3, 4000, 1.1), (5, 3000, 1.1)):
+        z = rng.normal(size=(n, columns)) * 4
+        z[: n // 2, 0] = np.round(z[: n // 2, 0])
+        slot = np.where(z[:, 0] > 2, 0, 1 + np.unique(np.floor(z[:, : min(columns, 2)]), axis=0, return_inverse=True)[1].reshape(-1))
+        c = linkage._Clusters(z, rng.integers(1, 4, n).astype(float), "average")
+        c.slot = np.unique(slot, return_index=True)[1][np.unique(slot, return_inverse=True)[1]]
+        alive = np.unique(c.slot)
+        c.gather()
+        c.size = np.bincount(c.slot, c.weight, n)
+        for k in range(columns):
+            c.mean[:, k] = np.bincount(c.slot, c.weight * z[:, k], n) / np.maximum(c.size, 1)
+        looked[0] = 0
+        got = linkage._matrix(c, alive, None)
+        assert looked[0] < most * n * n / 2
+        rows = [np.flatnonzero(c.slot == a) for a in alive]
+        for a in (1, 2, len(alive) // 2):
+            d = c.weight[rows[a]] @ plain(z[rows[a]], z)
+            want = np.array([d[r] @ c.weight[r] for r in rows]) / (c.size[alive[a]] * c.size[alive])
+            want[a] = np.inf
+            assert got[a] == pytest.approx(want, rel=1e-11)
+
+
 def test_medoids_of_many_points(spark):
     # more points than were taken before, with copies: the choice and the swaps of trying every point
     rng = np.random.default_rng(7)
